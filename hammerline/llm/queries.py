@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, packing, substrings
+from . import language, lzprint, neardup, packing, substrings, toxicity, warc
 
 
 def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,27 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.CaptureIndex.build(table(spark, sf_dir, "pages"), least_bytes=0)
+    return captures.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.train(docs.where(~language.held_out()))
+    return language.predict(docs.select("doc_id", language.held_out().alias("held_out"), "text"), profiles).drop("text")
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    models = toxicity.train(docs, labels, [1 - F.col("quality"), F.col("toxic")])
+    return toxicity.predict(docs, models, ["low_quality", "toxic"])
+
+
+def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -30,7 +51,11 @@ QUERIES = {
     for f in (
         op1_pack_sequences,
         op2_substring_dedup,
+        op3_warc_captures,
+        op6_language_id,
+        op7_toxicity_chain,
         op9_near_duplicates,
+        op10_lz_fingerprint,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
