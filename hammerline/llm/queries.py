@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, lzprint, neardup, packing, substrings, toxicity, warc
+from . import language, licenses, lzprint, mixing, neardup, packing, quality, substrings, toxicity, warc
 
 
 def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,21 @@ def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    at, base = F.col("places.at"), F.array_sort(F.array_distinct(F.col("places.label")))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_ids(table(spark, sf_dir, "documents"), max_repeats=1.5)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.train(docs.where(~language.held_out()))
@@ -52,8 +67,11 @@ QUERIES = {
         op1_pack_sequences,
         op2_substring_dedup,
         op3_warc_captures,
+        op4_license_scan,
+        op5_quality_rules,
         op6_language_id,
         op7_toxicity_chain,
+        op8_source_mixing,
         op9_near_duplicates,
         op10_lz_fingerprint,
     )
