@@ -1,15 +1,18 @@
 """Near-duplicate classes: MinHash bands for candidates, odd sketches to sift them, exact sets to confirm.
 
 One pass turns every document into a row of fixed size (set size, set digest, band keys, odd sketch).
-Equal sets collapse to one representative, so copies never meet pair by pair. In each band bucket the
-smallest representative is compared with the others; confirmed links give components. Buckets that
-still hold several components then compare only across components, block by block, best estimates
-first and in growing numbers until nothing is left to compare. Nothing is capped: with 4 rows in
-28 bands, a pair at similarity 0.8 shares no bucket with probability 4e-7.
+Equal sets collapse to one representative, so copies never meet pair by pair. Within a band bucket
+the XOR population counts of odd sketches say which representatives may be similar; a bucket hands on
+a spanning forest of that graph, never its pairs. Components of the forests are the families. The
+shingle sets of a family travel once and meet in one task (or, for a family with more than
+FAMILY_SHINGLES, in tasks for pairs of its blocks), which confirms links on the full sets with an
+inverted list and hands on a spanning forest of the links. Components of these are the answer: a link
+is left out only where others connect its ends. Nothing is capped; a pair at similarity 0.8 shares
+no bucket with probability 8e-7, and its estimate falls short of the slack at five standard errors.
 
 Edge cases: a null text, or one without words, has an empty set, size 0, and is its own component;
-fewer words than a shingle make one shingle of the whole sequence; repeated rows of an id share its
-component; rows with a null id keep a null component and are not linked; ties go to the smallest id.
+fewer words than a shingle make one shingle of the whole sequence; rows that share an id count as one
+document; rows with a null id keep a null component and are not linked; ties go to the smallest id.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingPowers, WordHashes, mix64, written
+from .common import RollingPowers, WordHashes, mix64, partitions, written
 
-BANDS, ROWS, BITS = 28, 4, 512
-#: Pairs whose estimate is this far below the threshold are dropped: over five standard errors of the sketch.
-SLACK = 0.24
+BANDS, ROWS, BITS = 46, 6, 1024
+#: Pairs whose estimate is this far below the threshold are dropped: about five standard errors of the sketch.
+SLACK = 0.16
 #: Representatives of a bucket compared in one task; larger buckets are dealt out as pairs of blocks.
-BLOCK = 2048
+BLOCK = 4096
+#: Shingles of a family that one task holds; larger families are dealt out as pairs of blocks.
+FAMILY_SHINGLES = 1 << 21
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -48,7 +53,16 @@ class Shingler:
 
 
 def _coefficients() -> np.ndarray:
-    return mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return (mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def minima(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Minimum of each of the hash functions; 32-bit products, which the processor takes in vectors."""
+    folded = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(folded), 512):
+        np.minimum(least, (folded[at : at + 512, None] * factors[None, :]).min(axis=0), out=least)
+    return least
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
@@ -79,10 +93,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 if not len(s):
                     digests.append(None), bands.append(None), sketches.append(None)
                     continue
-                least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(s), 4096):
-                    part = s[at : at + 4096]
-                    np.minimum(least, (part[:, None] * factors[None, :]).min(axis=0), out=least)
+                least = minima(s, factors).astype(np.uint64)
                 digests.append(hashlib.md5(s.tobytes()).digest())
                 rows = mix64(least).reshape(BANDS, ROWS)
                 keys = mix64((rows * mixers[None, :]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
@@ -94,54 +105,115 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def _comparer(least: float, low: int, high: int) -> Callable[[pa.Table], pa.Table]:
-    def compare(table: pa.Table) -> pa.Table:
-        return _compare(table, least, low, high)
-
-    return compare
-
-
-def _compare(table: pa.Table, least: float, low: int, high: int) -> pa.Table:
-    """Pairs of one bucket block across components: each row's candidates ranked low..high by estimate in each other component."""
-    ids, comp = np.asarray(table["id"]), np.asarray(table["component"])
-    side = np.asarray(table["side"])
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
-    left = np.flatnonzero(side != 2)
-    right = np.flatnonzero(side != 1)
-    out_a, out_b = [], []
-    for i in left:
-        others = right[comp[right] != comp[i]]
-        if not len(others):
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables that hold whole runs of equal keys, with the limits of the runs; the input is sorted by them."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
             continue
-        score = estimate(np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64))
-        keep = score >= least
-        others, score = others[keep], score[keep]
-        order = np.lexsort((ids[others], -score, comp[others]))
-        others = others[order]
-        group = np.concatenate(([True], comp[others][1:] != comp[others][:-1])) if len(others) else np.empty(0, bool)
-        rank = np.arange(len(others)) - np.maximum.accumulate(np.where(group, np.arange(len(others)), 0)) if len(others) else np.empty(0, int)
-        chosen = others[(rank >= low) & (rank < high)]
-        out_a.append(np.minimum(ids[i], ids[chosen])), out_b.append(np.maximum(ids[i], ids[chosen]))
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
+        change = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            v = np.asarray(t[k])
+            change |= v[1:] != v[:-1]
+        cuts = (np.flatnonzero(change) + 1).tolist()
+        if cuts:
+            yield t.slice(0, cuts[-1]), [0, *cuts]
+            held = t.slice(cuts[-1])
+        else:
+            held = t
+    if held is not None:
+        yield held, [0, held.num_rows]
+
+
+def forest(n: int, side: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of n nodes, by breadth-first search. ``linked(i, others)``: mask of
+    the neighbours of i. Side 1 meets only side 2 and the other way round, side 0 all."""
+    left, edges = np.arange(n), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            may = left if side[i] == 0 else left[side[left] != side[i]]
+            near = may[linked(i, may)] if len(may) else may
+            if len(near):
+                edges += [(i, int(j)) for j in near]
+                queue += near.tolist()
+                left = np.setdiff1d(left, near, assume_unique=True)
+    return edges
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+
+def _similar(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spanning forests of the sketch graph of each bucket block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for t, cuts in whole_runs(batches, ["bucket", "i", "j"]):
+            ids, side = np.asarray(t["id"]), np.asarray(t["side"])
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            starts, sizes = np.asarray(cuts[:-1]), np.diff(cuts)
+            two = starts[sizes == 2]
+            near = estimate(np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(axis=1, dtype=np.int64)) >= least
+            near &= (side[two] == 0) | (side[two] != side[two + 1])
+            a, b = [ids[two[near]]], [ids[two[near] + 1]]
+            for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                own = sketch[at : at + n]
+                found = forest(n, side[at : at + n], lambda i, others, own=own: estimate(np.bitwise_count(own[others] ^ own[i]).sum(axis=1, dtype=np.int64)) >= least)
+                if found:
+                    x, y = np.asarray(found).T
+                    a.append(ids[at + x]), b.append(ids[at + y])
+            yield _edges(a, b)
+
+    return run
+
+
+def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spanning forests of the links of each family block: 100 * intersection >= percent * union on full sets."""
 
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in whole_runs(batches, ["family", "i", "j"]):
+            a, b = [], []
+            every_id, every_side = np.asarray(t["id"]), np.asarray(t["side"])
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                ids, side, n = every_id[at:end], every_side[at:end], end - at
+                sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].slice(at, n).to_pylist()]
+                sizes = np.asarray([len(x) for x in sets])
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+                _, code = np.unique(flat, return_inverse=True)
+                order = np.argsort(code, kind="stable")
+                posting, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(code))))
+                begins = np.concatenate(([0], np.cumsum(sizes)))
+
+                def linked(i: int, others: np.ndarray, code=code, posting=posting, first=first, begins=begins, sizes=sizes, n=n) -> np.ndarray:
+                    mine = code[begins[i] : begins[i + 1]]
+                    lengths = first[mine + 1] - first[mine]
+                    spots = np.repeat(first[mine] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+                    both = np.bincount(posting[spots], minlength=n)[others]
+                    return 100 * both >= percent * (sizes[i] + sizes[others] - both)
+
+                found = forest(n, side, linked)
+                if found:
+                    x, y = np.asarray(found).T
+                    a.append(ids[x]), b.append(ids[y])
+            yield _edges(a, b)
+
+    return run
+
+
+def _block_pairs(rows: DataFrame, blocks: str, key: str) -> DataFrame:
+    """Rows with (i, j, side): one pair of blocks each if there is one block, else a row for each pair
+    that the own block is part of; every two rows of a key meet in some pair."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")).withColumn("other", F.explode(F.expr(f"sequence(0, cast({blocks} as int) - 1)")))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = own.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", side).drop("own", "other", blocks)
+    return dealt.repartition(partitions(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def shrink(edges: DataFrame) -> DataFrame:
@@ -162,58 +234,49 @@ def shrink(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: one row a row of ``docs``."""
+    spark = docs.sparkSession
     signed = written(signatures(docs, width, id_col, text_col), "signatures")
     linked = signed.where("digest is not null and id is not null")
-    groups = written(linked.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.max("id").alias("most")), "groups")
-    reps = groups.select(F.col("rep").alias("id"), "bands", "sketch").dropDuplicates(["id", "bands"])
-    members = reps.select("id", "sketch", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min(F.struct("id", "sketch")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(members.join(shared, "bucket").select("bucket", "n", "id", "sketch", F.col("first.id").alias("low"), F.col("first.sketch").alias("low_sketch")), "buckets")
-    least = percent / 100 - SLACK
-    scored = buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), "sketch", "low_sketch")
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("sketch", "low_sketch"))
-                good = estimate(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) >= least
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good))
+    groups = written(linked.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "groups")
 
-    pairs = written(scored.mapInArrow(sift, "a long, b long").distinct(), "pairs")
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose bucket has another row; the input is sorted by bucket."""
+        last_key, last_id, told = None, None, True
+        for b in batches:
+            keys, ids = np.asarray(b.column("bucket")), np.asarray(b.column("id"))
+            if not len(keys):
+                continue
+            same_before = np.concatenate(([last_key is not None and keys[0] == last_key], keys[1:] == keys[:-1]))
+            keep = same_before.copy()
+            keep[:-1] |= same_before[1:]
+            if same_before[0] and not told:
+                yield pa.RecordBatch.from_arrays([pa.array([last_key], pa.int64()), pa.array([last_id], pa.int64())], ["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["bucket", "id"])
+            last_key, last_id, told = int(keys[-1]), int(ids[-1]), bool(keep[-1])
+
+    members = groups.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id")).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    members = written(members.mapInArrow(shared, "bucket long, id long"), "members")
+    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sketched = members.join(groups.select(F.col("rep").alias("id"), "sketch"), "id").join(counts, "bucket")
+    near = _block_pairs(sketched.select("bucket", "id", "sketch", "blocks"), "blocks", "bucket").mapInArrow(_similar(percent / 100 - SLACK), "a long, b long")
+    families = shrink(written(near.distinct(), "near"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("_text")], pa.binary())], ["id", "shingles"])
+            sets = [shingles(t.as_py()) for t in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), b.column("blocks"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "family", "blocks", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("_text"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return texts.join(ids, "id", "left_semi").mapInArrow(full_sets, "id long, shingles binary").dropDuplicates(["id"])
-
-    links = written(_confirmed(pairs, sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), percent), "links")
-    labels = shrink(links)
-    low, high = 0, 2
-    while True:
-        named = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket")
-        rest = named.join(mixed, "bucket", "left_semi").select("bucket", "n", "id", "sketch", "component")
-        rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "sketch", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-        pairs = written(dealt.groupBy("bucket", "i", "j").applyInArrow(_comparer(least, low, high), "a long, b long").distinct(), "more-pairs")
-        if pairs.isEmpty():
-            break
-        found = _confirmed(pairs, sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), percent)
-        more = written(found, "more-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = shrink(links)
-        low, high = high, 4 * high
-    own = groups.select("digest", "rep").join(labels, groups.rep == labels.id, "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    # a digest of a third of the rows is split by salts; the side that is repeated holds one row a digest with copies
+    sizes = families.join(groups.select(F.col("rep").alias("id"), "n_shingles"), "id").groupBy("component").agg(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES).alias("blocks"))
+    named = written(families.join(sizes, "component").select("id", F.col("component").alias("family"), "blocks"), "families")
+    sets = texts.join(named, "id").mapInArrow(full_sets, "id long, family long, blocks long, shingles binary")
+    links = _block_pairs(sets, "blocks", "family").mapInArrow(_confirmed(percent), "a long, b long")
+    labels = shrink(written(links.distinct(), "links"))
+    own = groups.join(labels, groups.rep == labels.id, "left").select("digest", "rep", "most", F.coalesce("component", "rep").alias("class"))
+    # a digest of a third of the rows is split by salts; the repeated side holds only digests that change a row
     salts = 16
-    copies = written(own.join(groups.where("most > rep").select("digest"), "digest", "left_semi").union(own.join(groups.where("most = rep").select(F.col("digest"), "rep"), "digest").where("class <> rep").select("digest", "class")), "classes")
-    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    result = signed.select("id", "n_shingles", "digest").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["digest", "salt"], "left")
-    result = result.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("class", "id").alias("component_id"))
+    classes = written(own.where("most > rep or class < rep").select("digest", "class"), "classes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    result = signed.select("id", "n_shingles", "digest").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(classes, ["digest", "salt"], "left")
+    result = result.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
     return result.withColumn("kept", F.col(id_col) == F.col("component_id"))
