@@ -15,6 +15,7 @@ result; repeated rows are packed as often as they occur; ties between equal leng
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,49 +28,101 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 
-CACHE_WORDS = 300_000
+#: Entries of a worker's caches; a full cache is emptied.
+CACHE_CHUNKS, CACHE_WORDS = 1_000_000, 1_000_000
+#: A word and ASCII marks after it (no apostrophe, which the tokenizer may read as a contraction).
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class ChunkEncoder:
     """Token ids of a text as little-endian uint32 bytes.
 
     Blank-separated chunks are encoded independently, which equals encoding the whole text for a
-    tokenizer that drops white space before its merges; repeated chunks come from a bounded cache.
+    tokenizer that drops white space before its merges; a word and the marks after it likewise.
+    Chunks and words come from bounded caches; new words are encoded in one go and told apart by
+    the tokens that end a word, anything else on its own.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        chunks, cache = text.replace("\n", " ").split(" "), self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [c for c in set(chunks) if c not in cache]
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[c] = np.asarray(e.ids, "<u4").tobytes()
-        out = b"".join([cache[c] for c in chunks])
+        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, new: list[str]) -> None:
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and (not len(ids) or stops[-1] == len(ids)):
+                data, begin = ids.tobytes(), 0
+                for w, stop in zip(some, stops.tolist(), strict=True):
+                    self.words[w] = data[4 * begin : 4 * stop]
+                    begin = stop
+            else:
+                self.words.update(zip(some, self._ids(some), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        parts, other = {}, []
+        for c in new:
+            m = WORD_AND_MARKS.fullmatch(c)
+            if m and m[1].isalpha():
+                parts[c] = m[1].lower() if m[1].isascii() else m[1], m[2]
+            else:
+                other.append(c)
+        wanted = {x for pair in parts.values() for x in pair if x}
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        words = [w for w in wanted if w not in self.words]
+        self._learn_words([w for w in words if w.isalpha()])
+        marks = [w for w in words if not w.isalpha()]
+        self.words.update(zip(marks, self._ids(marks), strict=True))
+        self.words[""] = b""
+        for c, (w, marks_) in parts.items():
+            self.chunks[c] = self.words[w] + self.words[marks_]
+        self.chunks.update(zip(other, self._ids(other), strict=True))
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of several texts; what none of the caches knows is learnt together."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+        new = list(set().union(*split).difference(self.chunks)) if split else []
+        self._learn(new)
+        known = self.chunks
+        out = [b"".join([known[c] for c in chunks]) for chunks in split]
         for c in new:
             if len(c) > 64:
-                del cache[c]
+                del known[c]
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder a worker process, so that its caches outlive a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32. Only longer documents are cut."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ChunkEncoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = _encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             keys, out = b.column(0), ([], [], [], [], [])
-            for i, text in enumerate(b.column(1)):
-                ids = (encode(text.as_py()) if text.is_valid else b"") + end
+            encoded = (x for at in range(0, b.num_rows, 500) for x in encoder.batch(b.column(1).slice(at, 500).to_pylist()))
+            for i, ids in enumerate(encoded):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, x in zip(out, (i, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
