@@ -115,7 +115,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``docs``, each row once a realised copy, with _block, _copy and _mix_key."""
     counted = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("n_tokens")), "token-counts")
     sources, places = block_plan(counted, block_tokens, seed, max_repeats=max_repeats, target_entropy=target_entropy, budget_tokens=budget_tokens)
-    return place(docs, sources, places, id_col, source_col, seed)
+    fields = docs.schema.names
+    plain = docs.toDF(*[f"c{i}" for i in range(len(fields))])  # names of other columns can't meet those used here
+    return place(plain, sources, places, f"c{fields.index(id_col)}", f"c{fields.index(source_col)}", seed).toDF(*fields, "_block", "_copy", "_mix_key")
 
 
 def mix_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = 200_000, seed: int = 11, max_repeats: float | None = 1.5, target_entropy: float | None = None, budget_tokens: int | None = None) -> DataFrame:

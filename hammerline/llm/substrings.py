@@ -135,7 +135,9 @@ def _decide(table: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with _n_words, _n_removed, _kept_text: words covered by a window whose sequence also
     starts in a document of smaller id are removed; kept words are joined by one space."""
-    spark = docs.sparkSession
+    spark, fields = docs.sparkSession, docs.schema.names
+    id_col, text_col = f"c{fields.index(id_col)}", f"c{fields.index(text_col)}"
+    docs = docs.toDF(*[f"c{i}" for i in range(len(fields))])  # names of other columns can't meet those used here
     chars = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     ranges = max(2 * partitions(spark), -(-chars // RANGE_CHARS))
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(F.col(text_col)))
@@ -165,4 +167,4 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     joined = keyed.join(lost, ["_id", "_key"], "left").select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("binary").alias("_bytes"), "_starts")
     added = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_text", T.StringType())]
-    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *added]))
+    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *added])).toDF(*fields, *[f.name for f in added])
