@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import partitions, written
 
 #: Entries of a worker's caches; a full cache is emptied.
-CACHE_CHUNKS, CACHE_WORDS = 1_000_000, 1_000_000
+CACHE_CHUNKS, CACHE_WORDS = 500_000, 500_000
 #: A word and ASCII marks after it (no apostrophe, which the tokenizer may read as a contraction).
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
