@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import language, licenses, lzprint, mixing, neardup, packing, quality, substrings, toxicity, warc
+from .oracles import ORACLE_SQL
 
 
 def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,5 @@ QUERIES = {
         op10_lz_fingerprint,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
