@@ -573,3 +573,6 @@ def fold_variants(s, d):
     by_sale = rows.groupBy("sale", "object").agg(F.min("lot_id").alias("a"), F.max("lot_id").alias("b")).where("a < b").select("a", "b")
     by_maker = rows.groupBy("maker", "object").agg(F.min("lot_id").alias("a"), F.max("lot_id").alias("b")).where("a < b").select("a", "b")
     return R.components(by_sale.union(by_maker))
+
+
+from . import market as _market  # noqa: E402, F401  registers its queries

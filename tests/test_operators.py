@@ -1,9 +1,11 @@
 """Operators on small rows with known answers."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hammerline.functions import scalars as S
@@ -95,3 +97,34 @@ def test_streaming_overlay_and_changes(spark, tmp_path):
         q = make(flows.event_stream(spark, path)).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() > 0
+
+
+def test_grade_ladder_recovers_multipliers(spark):
+    from hammerline.operators import market
+
+    steps = {1: 0.5, 2: 0.8, 3: 1.0, 4: 1.7}
+    rows = [(k, g, 100.0 * (k + 1) * m) for k in range(12) for g, m in steps.items() if (k + g) % 4]
+    df = spark.createDataFrame(rows, "k long, g int, v double")
+    found = market.grade_ladder(df, "k", "g", "v", [1, 2, 3, 4, 5], 3)
+    assert found[5] is None and all(found[g] == pytest.approx(m) for g, m in steps.items())
+    falling = df.withColumn("g", 5 - df.g)
+    assert set(market.grade_ladder(falling, "k", "g", "v", [1, 2, 3, 4], 2).values()) == {None}
+
+
+def test_composite_caps_weights(spark):
+    from hammerline.operators import market
+
+    levels = spark.createDataFrame([(k, q, 1.0 + k * q / 10) for k in range(4) for q in (1, 2)] + [(0, 3, 2.0)], "k long, q int, level double")
+    sizes = spark.createDataFrame([(0, 97.0), (1, 1.0), (2, 1.0), (3, 1.0)], "k long, size double")
+    got = {r.q: (r.value, r.n) for r in market.composite(levels, sizes, "k", "q", "level", "size", cap=0.4).collect()}
+    assert set(got) == {1, 2} and got[1][1] == 4
+    assert got[1][0] == pytest.approx(math.exp(0.2 * sum(math.log(1 + k / 10) for k in (1, 2, 3))))
+
+
+def test_neighbour_labels_need_agreement(spark):
+    from hammerline.operators import market
+
+    rows = [(1, 1, 10, "a"), (2, 1, 11, None), (3, 1, 12, "a"), (4, 1, 13, "b"), (5, 2, 11, None), (6, 1, 90, None), (7, 1, None, None)]
+    df = spark.createDataFrame(rows, "id long, sale long, lot int, vote string")
+    assert [tuple(r) for r in market.neighbour_labels(df, "sale", "lot", "vote", "id", 1, 2, 0.9).collect()] == [(2, "a", 2)]
+    assert market.neighbour_labels(df, "sale", "lot", "vote", "id", 2, 3, 0.9).count() == 0
