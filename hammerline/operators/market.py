@@ -169,8 +169,11 @@ def facet_splits(df: DataFrame, entity: str, facets: dict[str, Column], value: s
 
 def resolve_picks(picks: DataFrame, outcomes: DataFrame, key: str, now: Column) -> DataFrame:
     """``picks`` (key, close, value, low, high, est_mid) with state, vs_value, vs_est and in_range from
-    ``outcomes`` (key, status, price) (M57)."""
-    joined = picks.join(outcomes.select(key, F.col("status").alias("_status"), F.col("price").alias("_price")), key, "left")
+    ``outcomes`` (key, status, price) (M57). Of several outcomes of a key a sale counts first, then the
+    higher price, then the later status name, so that no pick is multiplied."""
+    done = F.struct(F.coalesce((F.col("status") == "sold") & (F.col("price") > 0), F.lit(False)).alias("sold"), F.col("price").alias("price"), F.col("status").alias("status"))
+    ledger = outcomes.groupBy(key).agg(F.max(done).alias("_o")).select(key, F.col("_o.status").alias("_status"), F.col("_o.price").alias("_price"))
+    joined = picks.join(ledger, key, "left")
     sold = (F.col("_status") == "sold") & (F.col("_price") > 0)
     state = F.when(sold, "sold").when(F.col("_status").isin("bought_in", "withdrawn"), "unsold").when(F.col("close") <= now, "pending").otherwise("open")
     return joined.withColumn("state", state).withColumn("vs_value", F.when(sold, (F.col("_price") / F.col("value") - 1) * 100)).withColumn("vs_est", F.when(sold, (F.col("_price") / F.col("est_mid") - 1) * 100)).withColumn("in_range", F.when(sold, F.col("_price").between(F.col("low"), F.col("high")))).drop("_status", "_price")

@@ -139,7 +139,8 @@ def facet_splits(s, d):
     return out.withColumn("median", r("median")).withColumn("share", r("share"))
 
 
-@query(f"""+p AS (SELECT house, CASE WHEN status = 'sold' AND price > 0 THEN 'sold' WHEN status = 'bought_in' THEN 'unsold' WHEN day <= DATE '{NOW}' THEN 'pending' ELSE 'open' END AS state, (price / est_high - 1) * 100 AS v, (price / ((est_low + est_high) / 2) - 1) * 100 AS e, price BETWEEN est_low AND est_high AS inside FROM lots)
+@query(f"""+o AS (SELECT lot_id, max({{'sold': status = 'sold' AND price > 0, 'price': price, 'status': status}}) AS o FROM lots WHERE status <> 'upcoming' GROUP BY lot_id),
+p AS (SELECT house, CASE WHEN o.o.sold THEN 'sold' WHEN o.o.status = 'bought_in' THEN 'unsold' WHEN day <= DATE '{NOW}' THEN 'pending' ELSE 'open' END AS state, (o.o.price / est_high - 1) * 100 AS v, (o.o.price / ((est_low + est_high) / 2) - 1) * 100 AS e, o.o.price BETWEEN est_low AND est_high AS inside FROM lots l LEFT JOIN o ON l.lot_id = o.lot_id)
 SELECT house, count(*) FILTER (state = 'sold') AS n, CASE WHEN count(*) FILTER (state = 'sold') >= 10 THEN round(median(v) FILTER (state = 'sold'), 6) END AS med_vs_value, CASE WHEN count(*) FILTER (state = 'sold') >= 10 THEN round(median(e) FILTER (state = 'sold'), 6) END AS med_vs_est, CASE WHEN count(*) FILTER (state = 'sold') >= 10 THEN count(*) FILTER (state = 'sold' AND inside) END AS in_range, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'unsold') AS unsold FROM p GROUP BY house""")
 def pick_outcomes(s, d):
     rows = _lots(s, d)
