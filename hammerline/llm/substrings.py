@@ -3,8 +3,8 @@
 Each task hashes all windows of its documents and keeps, per batch, one claim a window hash: that of
 the smallest document (a map-side combine, so a passage in a third of the corpus costs one claim a
 batch; windows of the batch's other documents are decided there). Claims travel as packed arrays to
-a range of the hash space, where the smallest document of each hash is found; starts that lose come
-back and merge into maximal removal intervals.
+a range of the hash space, where the smallest document of each hash is found. Starts that lose travel,
+packed again, to a bucket of documents and merge there into one row of maximal removal intervals a document.
 
 Claims carry 56 bits of each hash besides those that the target range tells: at w windows a false
 removal has a chance of about w / (2**56 * ranges) a window. Edge cases: null or empty text has no word and
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingPowers, WordHashes, partitions
+from .common import RollingPowers, WordHashes, mix64, partitions
 
 #: Text characters hashed together in a task, and text characters that one target range gets on average.
 BATCH_CHARS, RANGE_CHARS = 6_000_000, 8_000_000
@@ -44,6 +44,15 @@ def _blocks(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield rows
 
 
+def _packed(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Documents, their keys, their numbers of places, and the places as byte planes of their steps;
+    ``cuts`` are where the next document begins."""
+    begins = np.concatenate(([0], cuts)).astype(np.int64)
+    steps = np.diff(places.astype(np.int64), prepend=0)
+    steps[cuts] = places[cuts]
+    return ids[begins].tobytes(), keys[begins].tobytes(), np.diff(np.append(begins, len(places))).astype("<u4").tobytes(), steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _claims(width: int, ranges: int):
     schema = ["range", "ids", "keys", "counts", "places", "hashes", "lost"]
 
@@ -74,11 +83,9 @@ def _claims(width: int, ranges: int):
 
                 def put(range_: int, at: np.ndarray, lost: bool, row=row, place=place, ids=ids, keys=keys, every=every, out=out) -> None:
                     """One row of claims, or of starts that are already lost, of documents in order."""
-                    docs, counts = np.unique(row[at], return_counts=True)
-                    step_ = np.diff(place[at].astype(np.int64), prepend=0)
-                    step_[np.cumsum(counts)[:-1]] = place[at][np.cumsum(counts)[:-1]]
                     packed = b"" if lost else (every[at] - np.uint64(range_ * step)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
-                    for k, v in zip(schema, (range_, ids[docs].tobytes(), keys[docs].tobytes(), counts.astype("<u4").tobytes(), step_.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), packed, lost), strict=True):
+                    of = row[at]
+                    for k, v in zip(schema, (range_, *_packed(ids[of], keys[of], place[at], np.flatnonzero(np.diff(of)) + 1), packed, lost), strict=True):
                         out[k].append(v)
 
                 target = (every // np.uint64(step)).astype(np.int64)
@@ -105,31 +112,54 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.frombuffer(row["ids"], np.int64), counts), np.repeat(np.frombuffer(row["keys"], np.int64), counts), place
 
 
-def _decide(table: pa.Table) -> pa.Table:
-    """Starts of one range that a smaller document owns: a row a document."""
-    ids, keys, places, hashes, lost = [], [], [], [], []
-    for row in table.to_pylist():
-        i, k, p = _opened(row)
-        if row["lost"]:
-            lost.append((i, k, p))
-            continue
-        wide = np.zeros((len(i), 8), np.uint8)
-        wide[:, :KEPT] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, KEPT)
-        ids.append(i), keys.append(k), places.append(p), hashes.append(wide.view("<u8").ravel())
-    if ids:
-        i, k, p, h = (np.concatenate(x) for x in (ids, keys, places, hashes))
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-        least = np.minimum.reduceat(i[order], first)
-        gone = order[i[order] > np.repeat(least, np.diff(np.append(first, len(order))))]
-        lost.append((i[gone], k[gone], p[gone]))
-    i, k, p = (np.concatenate(x) for x in zip(*lost, strict=True)) if lost else (np.empty(0, np.int64),) * 3
-    order = np.lexsort((p, k, i))
-    i, k, p = i[order], k[order], p[order]
-    cuts = np.flatnonzero((np.diff(i) != 0) | (np.diff(k) != 0)) + 1
-    starts = np.concatenate(([0], cuts)).astype(np.int64) if len(i) else np.empty(0, np.int64)
-    blobs = [x.astype("<u4").tobytes() for x in np.split(p, cuts)] if len(i) else []
-    return pa.table({"_id": pa.array(i[starts], pa.int64()), "_key": pa.array(k[starts], pa.int64()), "starts": pa.array(blobs, pa.binary())})
+def _decide(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Starts of one range that a smaller document owns: a row a bucket of documents."""
+        ids, keys, places, hashes, lost = [], [], [], [], []
+        for row in table.to_pylist():
+            i, k, p = _opened(row)
+            if row["lost"]:
+                lost.append((i, k, p))
+                continue
+            wide = np.zeros((len(i), 8), np.uint8)
+            wide[:, :KEPT] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, KEPT)
+            ids.append(i), keys.append(k), places.append(p), hashes.append(wide.view("<u8").ravel())
+        if ids:
+            i, k, p, h = (np.concatenate(x) for x in (ids, keys, places, hashes))
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+            least = np.minimum.reduceat(i[order], first)
+            gone = order[i[order] > np.repeat(least, np.diff(np.append(first, len(order))))]
+            lost.append((i[gone], k[gone], p[gone]))
+        i, k, p = (np.concatenate(x) for x in zip(*lost, strict=True)) if lost else (np.empty(0, np.int64),) * 3
+        bucket = (mix64(i.view(np.uint64) ^ k.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((p, k, i, bucket))
+        i, k, p, bucket = i[order], k[order], p[order], bucket[order]
+        rows = []
+        for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(bucket)) + 1) if len(i) else []:
+            rows.append((int(bucket[at[0]]), *_packed(i[at], k[at], p[at], np.flatnonzero((np.diff(i[at]) != 0) | (np.diff(k[at]) != 0)) + 1)))
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *(pa.binary(),) * 4), strict=True)], ["bucket", "ids", "keys", "counts", "places"])
+
+    return run, "bucket long, ids binary, keys binary, counts binary, places binary"
+
+
+def _merge(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A row a document of one bucket: its lost windows as maximal intervals [start, end)."""
+        i, k, p = (np.concatenate(x) for x in zip(*(_opened(row) for row in table.to_pylist()), strict=True))
+        order = np.lexsort((p, k, i))
+        i, k, p = i[order], k[order], p[order]
+        other = (np.diff(i) != 0) | (np.diff(k) != 0)
+        begins = np.flatnonzero(np.concatenate(([True], other | (np.diff(p) > width))))
+        ends = np.append(begins[1:], len(p)) - 1
+        spans = np.stack((p[begins], p[ends] + width), 1).astype("<u4")
+        i, k = i[begins], k[begins]
+        cuts = np.flatnonzero((np.diff(i) != 0) | (np.diff(k) != 0)) + 1
+        first = np.concatenate(([0], cuts)).astype(np.int64)
+        return pa.table({"_id": pa.array(i[first], pa.int64()), "_key": pa.array(k[first], pa.int64()), "_spans": pa.array([x.tobytes() for x in np.split(spans, cuts)], pa.binary())})
+
+    return run, "_id long, _key long, _spans binary"
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,21 +173,20 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(F.col(text_col)))
     run, schema = _claims(width, ranges)
     claims = keyed.where(F.col("_id").isNotNull() & F.col(text_col).isNotNull()).select("_id", "_key", F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
-    lost = claims.groupBy("range").applyInArrow(_decide, "_id long, _key long, starts binary")
-    lost = lost.groupBy("_id", "_key").agg(F.collect_list("starts").alias("_starts"))
+    lost = claims.groupBy("range").applyInArrow(*_decide(ranges)).groupBy("bucket").applyInArrow(*_merge(width))
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, removed, texts = [], [], []
-            for text, blobs in zip(b.column("_bytes"), b.column("_starts"), strict=True):
+            for text, spans in zip(b.column("_bytes"), b.column("_spans"), strict=True):
                 words = (text.as_py() or b"").split()
                 n, gone = len(words), 0
-                if blobs.is_valid:
-                    change = np.zeros(n + width + 1, np.int32)
-                    starts = np.concatenate([np.frombuffer(x, "<u4") for x in blobs.as_py()])
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + width, -1)
+                if spans.is_valid:
+                    change = np.zeros(n + 1, np.int32)
+                    begins, ends = np.frombuffer(spans.as_py(), "<u4").reshape(-1, 2).T
+                    change[begins] += 1
+                    change[ends] -= 1
                     keep = np.cumsum(change[:n]) == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                     gone = n - len(words)
@@ -165,6 +194,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             kept = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), kept], [*names, "_n_words", "_n_removed", "_kept_text"])
 
-    joined = keyed.join(lost, ["_id", "_key"], "left").select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("binary").alias("_bytes"), "_starts")
+    joined = keyed.join(lost, ["_id", "_key"], "left").select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("binary").alias("_bytes"), "_spans")
     added = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_text", T.StringType())]
     return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *added])).toDF(*fields, *[f.name for f in added])
