@@ -23,8 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 LENGTHS = (1, 2, 3, 4)
 PROFILE, MAX_LANGUAGES = 400, 500
+#: N-gram counts that a training task holds before it adds them up.
+HELD_GRAMS = 2_000_000
 UNKNOWN = "und"
 
 
@@ -70,6 +74,7 @@ def ranking(grams: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.nd
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profile: int = PROFILE) -> dict[str, list[int]]:
     """Profiles of every non-null language in ``docs``; at most MAX_LANGUAGES of them."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, held, size = Grams(), defaultdict(list), 0
 
@@ -87,7 +92,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
                 g, n = make(text.as_py())
                 held[lang].append((g, n))
                 size += len(g)
-                if size > 8_000_000:
+                if size > HELD_GRAMS:
                     yield emitted()
                     held.clear()
                     size = 0
@@ -130,6 +135,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most MAX_LANGUAGES * size numbers
     names, at = docs.columns, docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(shared.value, size)
         for b in batches:

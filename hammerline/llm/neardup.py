@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingPowers, WordHashes, mix64, partitions, written
+from .common import RollingPowers, WordHashes, lean, mix64, partitions, written
 
 BANDS, ROWS, BITS = 46, 6, 1024
 #: Pairs whose estimate is this far below the threshold are dropped: about five standard errors of the sketch.
@@ -82,6 +82,7 @@ def estimate(differing: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, digest, bands (array<long>), sketch: one narrow row a document."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, factors = Shingler(width), _coefficients()
         mixers = mix64(np.arange(ROWS, dtype=np.uint64) + np.uint64(17)) | np.uint64(1)
@@ -97,7 +98,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 digests.append(hashlib.md5(s.tobytes()).digest())
                 rows = mix64(least).reshape(BANDS, ROWS)
                 keys = mix64((rows * mixers[None, :]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                bands.append(keys.view(np.int64).tolist())
+                bands.append(keys.view(np.int64))
                 sketches.append(odd_sketch(least).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "n_shingles", "digest", "bands", "sketch"])
 
@@ -154,6 +155,7 @@ def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 def _similar(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Spanning forests of the sketch graph of each bucket block."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in whole_runs(batches, ["bucket", "i", "j"]):
             ids, side = np.asarray(t["id"]), np.asarray(t["side"])
@@ -177,6 +179,7 @@ def _similar(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Spanning forests of the links of each family block: 100 * intersection >= percent * union on full sets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in whole_runs(batches, ["family", "i", "j"]):
             a, b = [], []
@@ -261,6 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     near = _block_pairs(sketched.select("bucket", "id", "sketch", "blocks"), "blocks", "bucket").mapInArrow(_similar(percent / 100 - SLACK), "a long, b long")
     families = shrink(written(near.distinct(), "near"))
 
+    @lean
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for b in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingPowers, WordHashes, mix64, partitions
+from .common import RollingPowers, WordHashes, lean, mix64, partitions
 
 #: Text characters hashed together in a task, and text characters that one target range gets on average.
 BATCH_CHARS, RANGE_CHARS = 6_000_000, 8_000_000
@@ -56,6 +56,7 @@ def _packed(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, cuts: np.ndar
 def _claims(width: int, ranges: int):
     schema = ["range", "ids", "keys", "counts", "places", "hashes", "lost"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, powers = WordHashes(), RollingPowers()
         step = -(-(1 << 64) // ranges)
@@ -176,6 +177,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     lost = claims.groupBy("range").applyInArrow(*_decide(ranges)).groupBy("bucket").applyInArrow(*_merge(width))
     names = docs.columns
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, removed, texts = [], [], []
