@@ -39,17 +39,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Caches that a worker process keeps between tasks; emptied when a task of another operator begins there.
+WORKER_CACHES: list[dict] = []
+
+
+def released() -> None:
+    """Gives freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forgotten() -> None:
+    """Empties the caches of this process."""
+    if any(WORKER_CACHES):
+        for cache in WORKER_CACHES:
+            cache.clear()
+        released()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` over Arrow batches, whose freed memory goes back to the system when a task ends: workers
-    live on for later stages, beside the caches of those."""
+    """``run`` over Arrow batches, with memory kept low: workers live on from stage to stage, so it begins
+    without the caches of other operators and gives freed memory back when the task ends."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forgotten()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL(None).malloc_trim(0)
+            released()
 
     return whole
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import WORKER_CACHES, partitions, written
 
 #: Entries of a worker's caches; a full cache is emptied.
 CACHE_CHUNKS, CACHE_WORDS = 500_000, 500_000
@@ -107,9 +107,10 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def _encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process, so that its caches outlive a task."""
+    """One encoder a worker process, so that its caches outlive a task (but not a task of another operator)."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+        WORKER_CACHES.extend((_ENCODERS[path].chunks, _ENCODERS[path].words))
     return _ENCODERS[path]
 
 

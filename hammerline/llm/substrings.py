@@ -71,15 +71,19 @@ def _claims(width: int, ranges: int):
                 every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
                 if not len(every):
                     continue
-                row = np.repeat(np.arange(len(rows)), sizes)
-                place = np.concatenate([np.arange(n) for n in sizes]).astype(np.uint32)
+                del hashes
+                row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+                place = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
                 ids, keys = (np.asarray([r[i] for r in rows], np.int64) for i in (0, 1))
                 order = np.argsort(every, kind="stable")
                 ordered = every[order]
-                first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-                owner = ids[row[order]][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+                first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+                del ordered
+                by_hash = row[order]  # documents ascend within a hash: the first has the smallest id
+                owner = np.repeat(by_hash[first], np.diff(np.append(first, len(order))))
                 loses = np.zeros(len(order), bool)
-                loses[order] = ids[row[order]] > owner
+                loses[order] = ids[by_hash] > ids[owner]
+                del order, first, by_hash, owner
                 out: dict[str, list] = {k: [] for k in schema}
 
                 def put(range_: int, at: np.ndarray, lost: bool, row=row, place=place, ids=ids, keys=keys, every=every, out=out) -> None:
@@ -89,7 +93,7 @@ def _claims(width: int, ranges: int):
                     for k, v in zip(schema, (range_, *_packed(ids[of], keys[of], place[at], np.flatnonzero(np.diff(of)) + 1), packed, lost), strict=True):
                         out[k].append(v)
 
-                target = (every // np.uint64(step)).astype(np.int64)
+                target = (every // np.uint64(step)).astype(np.int32)
                 mine = np.flatnonzero(~loses)
                 mine = mine[np.argsort(target[mine], kind="stable")]
                 for at in np.split(mine, np.flatnonzero(np.diff(target[mine])) + 1):
@@ -175,13 +179,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     run, schema = _claims(width, ranges)
     claims = keyed.where(F.col("_id").isNotNull() & F.col(text_col).isNotNull()).select("_id", "_key", F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
     lost = claims.groupBy("range").applyInArrow(*_decide(ranges)).groupBy("bucket").applyInArrow(*_merge(width))
-    names = docs.columns
+    names, at = docs.columns, docs.columns.index(text_col)
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, removed, texts = [], [], []
-            for text, spans in zip(b.column("_bytes"), b.column("_spans"), strict=True):
+            for text, spans in zip(b.column(at).cast(pa.binary()), b.column("_spans"), strict=True):
                 words = (text.as_py() or b"").split()
                 n, gone = len(words), 0
                 if spans.is_valid:
@@ -196,6 +200,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             kept = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), kept], [*names, "_n_words", "_n_removed", "_kept_text"])
 
-    joined = keyed.join(lost, ["_id", "_key"], "left").select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("binary").alias("_bytes"), "_spans")
+    joined = keyed.join(lost, ["_id", "_key"], "left").select(*[F.col(f"`{c}`") for c in names], "_spans")
     added = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept_text", T.StringType())]
     return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *added])).toDF(*fields, *[f.name for f in added])
