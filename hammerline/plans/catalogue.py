@@ -336,6 +336,26 @@ def inverted_index_search(s, d):
     return R.search(_titles(s, d), "id", F.col("tokens"), ["the", "th"], True)
 
 
+_TEXTS = _TITLES.replace("substr(text, 1, 200)", "text")
+
+
+def _texts(s, d):
+    """Tokens of whole texts; the queries named _text read these, uncut."""
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), S.tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH t AS ({_TEXTS}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, count(*) AS df FROM x GROUP BY token) SELECT token, df, round(ln((SELECT count(*) FROM t) / df), 6) AS idf FROM f", with_lots=False)
+def idf_text(s, d):
+    t = _texts(s, d)
+    total = t.agg(F.count("*").alias("total"))
+    return t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("token", "df", r(F.ln(F.col("total") / F.col("df")), 6).alias("idf"))
+
+
+@query(f"WITH t AS ({_TEXTS}) SELECT id FROM t WHERE list_contains(tokens, 'the') AND len(list_filter(tokens, lambda x: starts_with(x, 'th'))) > 0", with_lots=False)
+def inverted_index_search_text(s, d):
+    return R.search(_texts(s, d), "id", F.col("tokens"), ["the", "th"], True)
+
+
 @query("+p AS (SELECT category, form, size, count(*) AS n, median(price) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS iqr FROM sold GROUP BY ALL) SELECT category, form, size, n, round(m, 6) AS median, CASE WHEN iqr / m > 2.5 THEN 'wide' WHEN n >= 8 THEN 'high' ELSE 'low' END AS confidence FROM p WHERE n >= 3")
 def edition_pool_median(s, d):
     p = _sold(s, d).groupBy("category", "form", "size").agg(F.count("*").alias("n"), F.median("price").alias("m"), (A.quantile("price", 0.75) - A.quantile("price", 0.25)).alias("iqr")).where("n >= 3")
