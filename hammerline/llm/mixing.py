@@ -3,10 +3,11 @@
 Source shares of the tokens are raised to an exponent and normalised; the exponent is bisected to
 meet a target entropy or a limit on how often a source is repeated. Without a budget, the smallest
 one is taken at which no source is cut, so every document appears. Documents fall by hash into
-blocks of about ``block_tokens``; each epoch of a source runs through its blocks in an order of its
-own, and the last, partial epoch stops at the block nearest to the source's quota: a source misses
-its quota by half a block at most. ``mix_key`` (0 to 1) interleaves the sources: sorting by it gives
-a stream that holds the target weights throughout.
+blocks of about ``block_tokens``, smaller ones where a source has under LEAST_BLOCKS of these; each
+epoch of a source runs through its blocks in an order of its own, and the last, partial epoch stops
+at the block nearest to the source's quota: a source misses its quota by half a block at most.
+``mix_key`` (0 to 1) interleaves the sources: sorting by it gives a stream that holds the target
+weights throughout.
 
 All steps are DataFrame expressions. The driver holds one row a source (at most MAX_SOURCES, more
 raise); the broadcast plan holds at most MAX_BLOCKS + MAX_SOURCES blocks and their epochs.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-MAX_SOURCES, MAX_BLOCKS = 20_000, 60_000
+MAX_SOURCES, MAX_BLOCKS, LEAST_BLOCKS = 20_000, 60_000, 64
 
 
 def word_count(text: Column) -> Column:
@@ -79,6 +80,13 @@ def plan(totals: list[tuple], target_entropy: float | None = None, max_repeats:
     return [(s, n, epochs.get(s, 1.0)) for s, n in totals]
 
 
+def blocks_of(tokens: int, block_tokens: int, total: int, sources: int) -> int:
+    """Blocks of a source: of ``block_tokens`` or less, LEAST_BLOCKS at least, in all at most MAX_BLOCKS and one a source."""
+    least = min(LEAST_BLOCKS, MAX_BLOCKS // sources)
+    size = max(block_tokens, -(-total // max(1, MAX_BLOCKS - least * sources)))
+    return max(1, min(tokens, max(least, -(-tokens // size))))
+
+
 def block_plan(counted: DataFrame, block_tokens: int, seed: int, **limits) -> tuple[DataFrame, DataFrame]:
     """From rows (id, source, n_tokens): (source, blocks) and the places (source, block, copy, mix_key)."""
     spark = counted.sparkSession
@@ -86,8 +94,7 @@ def block_plan(counted: DataFrame, block_tokens: int, seed: int, **limits) -> tu
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     planned = plan(totals, **limits)
-    size = max(block_tokens, -(-sum(n for _, n, _ in planned) // MAX_BLOCKS))
-    rows = [(s, max(1, -(-n // size)), float(n), e) for s, n, e in planned]
+    rows = [(s, blocks_of(n, block_tokens, sum(n for _, n, _ in planned), len(planned)), float(n), e) for s, n, e in planned]
     sources = spark.createDataFrame(rows, "source string, blocks long, tokens double, epochs double")
     sized = counted.join(F.broadcast(sources), counted.source.eqNullSafe(sources.source)).select(sources.source, block_of("id", seed).alias("block"), "n_tokens", "epochs", "tokens")
     blocks = written(sized.groupBy("source", "block", "epochs", "tokens").agg(F.sum("n_tokens").alias("n")), "blocks")
