@@ -1,7 +1,9 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is a set of content words; a block holds it if it has at least
-``containment`` of them. Tokens are ordered by their frequency over all blocks of the corpus, rarest
+A block is a line, or a window of words that crosses line ends, twice the longest template wide, since
+notices are wrapped. A template is a set of content words; a block holds it if it has at least
+``containment`` of them. Windows are formed only in texts whose words as a whole hold a template, one
+for each template word it may start with, unless an earlier one holds it whole. Tokens are ordered by their frequency over all blocks of the corpus, rarest
 first. A template with need a = ceil(containment * size) can only be held by a block that has one of
 its first size - a + 1 tokens (prefix filter), that has at least a template tokens (length filter),
 and whose shared tokens from the matching place on can still reach a (positional filter). What passes
@@ -15,6 +17,9 @@ template label; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +79,40 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
     return F.when(text.rlike(f"(?i)(?:{near})"), bound)
 
 
+def windows(text: Column, vocabulary: Column, width: int) -> Column:
+    """array<array<string>>: vocabulary words of each window of ``width`` words that crosses a line end."""
+    def of_line(line: Column, i: Column) -> Column:
+        return F.transform(F.array_remove(F.split(F.lower(line), GAP), ""), lambda w: F.struct(i.alias("line"), w.alias("token")))
+
+    words = F.transform(F.flatten(F.transform(F.split(text, "\n"), of_line)), lambda x, p: F.struct(p.alias("at"), x["line"].alias("line"), x["token"].alias("token")))
+    hits = F.filter(words, lambda x: F.array_contains(vocabulary, x["token"]))
+
+    def around(h: Column) -> Column:
+        def window(x: Column, i: Column) -> Column:
+            near = F.filter(F.slice(h, i + 1, width), lambda y: y["at"] < x["at"] + width)
+            before = F.get(h, i - 1)
+            return F.struct(F.transform(near, lambda y: y["token"]).alias("tokens"), ((F.element_at(near, -1)["line"] > x["line"]) & ((i == 0) | (F.element_at(near, -1)["at"] >= before["at"] + width))).alias("new"))
+
+        return F.transform(F.filter(F.transform(h, window), lambda w: w["new"]), lambda w: F.array_distinct(w["tokens"]))
+
+    # one array element binds the hits, so that they are found once a text
+    return F.get(F.transform(F.array(hits), around), F.lit(0))
+
+
 def template_matches(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.85) -> DataFrame:
     """id, label, containment of every template that some block of the text holds."""
     spark = docs.sparkSession
     rows = [(i, label, sorted(set(words.split()))) for i, (label, words) in enumerate(templates)]
     known = spark.createDataFrame(rows, "template int, label string, tokens array<string>").withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(containment) * F.size("tokens") - F.lit(1e-9)).cast("int")))
     vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, tokens in rows for t in tokens})])
-    blocks = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "block"))
-    held = blocks.select("id", "line", F.array_intersect(F.split(F.lower("block"), GAP), vocabulary).alias("tokens")).where(F.size("tokens") > 0)
-    held = written(held, "license-blocks")
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.array_intersect(F.split(F.lower(x), GAP), vocabulary))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lines.alias("lines"))
+    needs = [(tokens, max(1, math.ceil(containment * len(tokens) - 1e-9))) for _, _, tokens in rows]
+    every = F.array_distinct(F.flatten("lines"))
+    wanted = F.exists(F.array(every), lambda t: functools.reduce(Column.__or__, [F.size(F.array_intersect(t, F.array(*[F.lit(x) for x in tokens]))) >= need for tokens, need in needs]))
+    crossing = F.when((F.size("lines") > 1) & wanted, windows(F.col("text"), vocabulary, 2 * max(len(tokens) for _, _, tokens in rows)))
+    blocks = texts.select("id", F.explode(F.concat("lines", F.coalesce(crossing, F.expr("cast(array() as array<array<string>>)")))).alias("tokens"))
+    held = written(blocks.where(F.size("tokens") > 0), "license-blocks")
     frequency = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     # template tokens in global order: a constant number of rows
     order = known.select("template", "label", "need", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(frequency), "token", "left")

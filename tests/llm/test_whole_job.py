@@ -1,10 +1,12 @@
 """Training-data operators on rows where a shortened job gave other results."""
 
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from hammerline.llm import mixing
+from hammerline.llm import licenses, mixing
 
 
 def test_small_and_skewed_sources_meet_their_targets(spark):
@@ -25,3 +27,32 @@ def test_blocks_stay_within_the_bound():
     for sources in (1, 20, 900, 1000, mixing.MAX_SOURCES):
         for n in (10, 200_000, 10**9):
             assert sources * mixing.blocks_of(n, 200_000, sources * n, sources) <= mixing.MAX_BLOCKS + sources
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+BSD = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"
+GPL = "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+
+
+def test_wrapped_notices(spark):
+    far = "rights\n" + "word\n" * 40 + "reserved"
+    texts = {1: MIT, 2: BSD, 3: GPL, 4: "intro " * 30 + "\n" + MIT.replace(" ", "\n"), 5: far, 6: "no notice\nhere", 7: "rights\nreserved", 8: None, 9: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels), r.score) for r in licenses.scan(docs).collect()}
+    assert "mit" in got[1][0] and "bsd" in got[2][0] and "gpl-3.0" in got[3][0] and "mit" in got[4][0] and got[7][0] == {"reserved"}
+    assert got[1][1] == got[2][1] == 1.0 and all(got[i] == (set(), 0.0) for i in (5, 6, 8, 9))
+
+
+def test_windows_by_brute_force(spark):
+    rng = random.Random(5)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    texts = [(i, "".join(rng.choice(words + ["x"] * 30) + rng.choice("   \n") for _ in range(rng.randint(1, 300)))) for i in range(60)]
+    width = 2 * max(len(set(t.split())) for _, t in licenses.TEMPLATES)
+    for r in licenses.template_matches(spark.createDataFrame(texts, "id long, text string"), "id", "text").groupBy("id").agg(F.collect_set("label").alias("labels")).collect():
+        texts[r.id] += (set(r.labels),)
+    for _, text, *got in texts:
+        flat = text.split()
+        blocks = [set(x.split()) for x in text.split("\n")] + [set(flat[k : k + width]) for k in range(len(flat))]
+        want = {label for label, t in licenses.TEMPLATES for x in blocks if len(x & set(t.split())) >= 0.85 * len(set(t.split()))}
+        # a window within one line is part of that line's block
+        assert (got[0] if got else set()) == want
