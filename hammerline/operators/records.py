@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,6 +120,29 @@ def inverted_index(df: DataFrame, id_col: str, token_array: Column, most: int) -
     return rows.join(common, "token").groupBy("token", "n").agg(F.array_sort(F.collect_list("id")).alias("postings"))
 
 
+def posting_chunks(df: DataFrame, id_col: str, token_array: Column, salts: int = 64) -> DataFrame:
+    """token, chunk, n of the chunk and its ascending postings; no token is dropped, a common one is dealt over ``salts`` chunks by id."""
+    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(token_array)).alias("token"))
+    salted = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    return salted.groupBy("token", "chunk").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("postings"))
+
+
+def index_search(index: DataFrame, words: list[str], prefix_last: bool) -> DataFrame:
+    """Ids that the postings of ``posting_chunks`` give for all words, the last as a prefix while typing (Q2).
+
+    An id has the same chunk under every token, so chunks are intersected one by one, rarest word first."""
+    def of(w: str, begun: bool) -> DataFrame:
+        return index.where(F.col("token").startswith(w) if begun else F.col("token") == w)
+
+    parts = [of(w, prefix_last and i == len(words) - 1) for i, w in enumerate(words)]
+    # one row a word
+    counts = [p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("i", F.lit(i)) for i, p in enumerate(parts)]
+    order = [r["i"] for r in functools.reduce(DataFrame.unionAll, counts).orderBy("n", "i").collect()]
+    held = [parts[i].groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("postings"))).alias(f"p{i}")) for i in order]
+    joined = functools.reduce(lambda a, b: a.join(b, "chunk"), held)
+    return joined.select(F.explode(functools.reduce(F.array_intersect, [F.col(f"p{i}") for i in order])).alias("id"))
+
+
 def search(df: DataFrame, id_col: str, token_array: Column, words: list[str], prefix_last: bool) -> DataFrame:
     """Ids whose tokens hold all words, the last as a prefix while typing (Q2)."""
     def whole(w: str):

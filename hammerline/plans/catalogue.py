@@ -356,6 +356,17 @@ def inverted_index_search_text(s, d):
     return R.search(_texts(s, d), "id", F.col("tokens"), ["the", "th"], True)
 
 
+@query()
+def inverted_index_text(s, d):
+    """Every token of whole texts, in chunks; the chunk of an id is a hash of Spark, so there is no SQL."""
+    return R.posting_chunks(_texts(s, d), "id", F.col("tokens")).select("token", "chunk", "n", F.array_join(F.transform("postings", lambda x: x.cast("string")), " ").alias("postings"))
+
+
+@query(ORACLE_SQL["inverted_index_search_text"], with_lots=False)
+def index_search_text(s, d):
+    return R.index_search(R.posting_chunks(_texts(s, d), "id", F.col("tokens")), ["the", "th"], True)
+
+
 @query("+p AS (SELECT category, form, size, count(*) AS n, median(price) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS iqr FROM sold GROUP BY ALL) SELECT category, form, size, n, round(m, 6) AS median, CASE WHEN iqr / m > 2.5 THEN 'wide' WHEN n >= 8 THEN 'high' ELSE 'low' END AS confidence FROM p WHERE n >= 3")
 def edition_pool_median(s, d):
     p = _sold(s, d).groupBy("category", "form", "size").agg(F.count("*").alias("n"), F.median("price").alias("m"), (A.quantile("price", 0.75) - A.quantile("price", 0.25)).alias("iqr")).where("n >= 3")

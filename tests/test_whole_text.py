@@ -3,7 +3,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from hammerline.operators import records
 from hammerline.plans import catalogue
 
 LONG = "filler " * 60
@@ -21,3 +23,18 @@ def test_words_past_a_prefix_count(spark, texts):
     got = {r.token: (r.df, r.idf) for r in catalogue.QUERIES["idf_text"](spark, texts).collect()}
     assert got["tail"] == (2, pytest.approx(math.log(2), abs=1e-6)) and got["the"][0] == 2
     assert sorted(r.id for r in catalogue.QUERIES["inverted_index_search_text"](spark, texts).collect()) == [1, 3]
+
+
+def test_common_tokens_keep_their_postings(spark, tmp_path):
+    rows = [(i, "common " + ("rare" if i == 7 else "third") + (" thus" if i % 3 == 0 else "")) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    t = catalogue._texts(spark, f"file://{tmp_path}")
+    index = records.posting_chunks(t, "id", F.col("tokens")).cache()
+    got = {}
+    for r in index.collect():
+        assert r.n == len(r.postings) and r.postings == sorted(r.postings)
+        got.setdefault(r.token, []).extend(r.postings)
+    assert {k: sorted(v) for k, v in got.items()} == {w: [i for i, x in rows if w in x.split()] for w in ("common", "rare", "third", "thus")}
+    for words, prefix in ((["common", "th"], True), (["common", "rare"], False), (["thus", "common"], False), (["absent", "common"], False)):
+        want = [i for i, x in rows if all(any(y.startswith(w) if prefix and w == words[-1] else y == w for y in x.split()) for w in words)]
+        assert sorted(r.id for r in records.index_search(index, words, prefix).collect()) == want
