@@ -367,6 +367,16 @@ def index_search_text(s, d):
     return R.index_search(R.posting_chunks(_texts(s, d), "id", F.col("tokens")), ["the", "th"], True)
 
 
+@query(f"WITH t AS ({_TEXTS}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, ln((SELECT count(*) FROM t) / count(*)) AS w FROM x GROUP BY token HAVING count(*) < (SELECT count(*) FROM t)), v AS (SELECT id, x.token, w FROM x JOIN f ON x.token = f.token), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w) / any_value(p.norm * q.norm), 6) AS cosine FROM v a JOIN v b ON a.token = b.token AND a.id < b.id JOIN n p ON a.id = p.id JOIN n q ON b.id = q.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) / any_value(p.norm * q.norm) >= 0.7", with_lots=False)
+def token_dot_similarity_text(s, d):
+    """Over all tokens of whole texts; one that every document holds has weight 0 and adds to no norm or product."""
+    t = _texts(s, d)
+    total = t.agg(F.count("*").alias("total"))
+    x = t.select("id", F.explode("tokens").alias("token"))
+    f = x.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where("df < total").select("token", F.ln(F.col("total") / F.col("df")).alias("w"))
+    return J.token_similarity(x.join(f, "token"), "id", "token", "w", 0.7).withColumn("cosine", r("cosine", 6))
+
+
 @query("+p AS (SELECT category, form, size, count(*) AS n, median(price) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS iqr FROM sold GROUP BY ALL) SELECT category, form, size, n, round(m, 6) AS median, CASE WHEN iqr / m > 2.5 THEN 'wide' WHEN n >= 8 THEN 'high' ELSE 'low' END AS confidence FROM p WHERE n >= 3")
 def edition_pool_median(s, d):
     p = _sold(s, d).groupBy("category", "form", "size").agg(F.count("*").alias("n"), F.median("price").alias("m"), (A.quantile("price", 0.75) - A.quantile("price", 0.25)).alias("iqr")).where("n >= 3")

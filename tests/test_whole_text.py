@@ -38,3 +38,18 @@ def test_common_tokens_keep_their_postings(spark, tmp_path):
     for words, prefix in ((["common", "th"], True), (["common", "rare"], False), (["thus", "common"], False), (["absent", "common"], False)):
         want = [i for i, x in rows if all(any(y.startswith(w) if prefix and w == words[-1] else y == w for y in x.split()) for w in words)]
         assert sorted(r.id for r in records.index_search(index, words, prefix).collect()) == want
+
+
+def test_frequent_tokens_count_for_similarity(spark, tmp_path):
+    rows = [(1, "all often rare"), (2, "all often"), (3, "all often"), (4, "all"), (5, "all often other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    df = {w: sum(w in x.split() for _, x in rows) for _, t in rows for w in t.split()}
+    vectors = {i: {w: math.log(len(rows) / df[w]) for w in x.split()} for i, x in rows}
+    want = {}
+    for a, x in vectors.items():
+        for b, y in vectors.items():
+            norms = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            if a < b and norms and sum(v * y.get(w, 0) for w, v in x.items()) / norms >= 0.7:
+                want[a, b] = sum(v * y.get(w, 0) for w, v in x.items()) / norms
+    got = {(r.a, r.b): r.cosine for r in catalogue.QUERIES["token_dot_similarity_text"](spark, f"file://{tmp_path}").collect()}
+    assert (2, 3) in want and got == pytest.approx(want, abs=1e-6)
