@@ -3,9 +3,10 @@
 The plan is made from the histogram of piece lengths alone (at most ``capacity`` rows, whatever the
 corpus holds): large lengths are rounded up to the maximum of equal-cardinality groups, a
 configuration linear programme over those few sizes is solved by column generation, actual lengths
-replace the rounded ones, and every piece that is left goes to the tightest open sequence. The plan
-is a list of sequence classes with multiplicities; pieces meet it by their rank among pieces of
-equal length, computed in salted cells so that one frequent length never lands in one task.
+replace the rounded ones, and every piece that is left goes to the tightest open sequence. Configured
+sequences are kept as far as they cost no sequence more than best-fit decreasing. The plan is a list
+of sequence classes with multiplicities; pieces meet it by their rank among pieces of equal length,
+computed in salted cells so that one frequent length never lands in one task.
 
 Edge cases: null text is tokenised as empty (one separator id); an empty table gives an empty
 result; repeated rows are packed as often as they occur; ties between equal lengths are broken by
@@ -14,46 +15,52 @@ result; repeated rows are packed as often as they occur; ties between equal leng
 
 from __future__ import annotations
 
+import bisect
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORKER_CACHES, partitions, written
 
-#: Entries of a worker's caches; a full cache is emptied.
-CACHE_CHUNKS, CACHE_WORDS = 500_000, 500_000
+#: Texts whose ids a worker remembers; a full cache is emptied.
+CACHE_TEXTS = 500_000
+#: Bytes of text that are taken apart at a time.
+SLICE_BYTES = 8 << 20
 #: A word and ASCII marks after it (no apostrophe, which the tokenizer may read as a contraction).
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+WORD_AND_MARKS = r"^(?P<word>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class ChunkEncoder:
-    """Token ids of a text as little-endian uint32 bytes.
+    """Token ids of texts as one uint32 array.
 
     Blank-separated chunks are encoded independently, which equals encoding the whole text for a
     tokenizer that drops white space before its merges; a word and the marks after it likewise.
-    Chunks and words come from bounded caches; new words are encoded in one go and told apart by
-    the tokens that end a word, anything else on its own.
+    Arrow splits the texts and numbers their distinct chunks, so that Python sees each chunk of a
+    slice once; ids of words, marks and other chunks come from one bounded cache. New words are
+    encoded in one go and told apart by the tokens that end a word, anything else on its own.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, texts: list[str]) -> None:
+        for at in range(0, len(texts), 5000):
+            some = texts[at : at + 5000]
+            self.known.update(zip(some, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
 
     def _learn_words(self, new: list[str]) -> None:
         for at in range(0, len(new), 5000):
@@ -63,72 +70,95 @@ class ChunkEncoder:
             if len(stops) == len(some) and (not len(ids) or stops[-1] == len(ids)):
                 data, begin = ids.tobytes(), 0
                 for w, stop in zip(some, stops.tolist(), strict=True):
-                    self.words[w] = data[4 * begin : 4 * stop]
+                    self.known[w] = data[4 * begin : 4 * stop]
                     begin = stop
             else:
-                self.words.update(zip(some, self._ids(some), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        parts, other = {}, []
-        for c in new:
-            m = WORD_AND_MARKS.fullmatch(c)
-            if m and m[1].isalpha():
-                parts[c] = m[1].lower() if m[1].isascii() else m[1], m[2]
-            else:
-                other.append(c)
-        wanted = {x for pair in parts.values() for x in pair if x}
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words = [w for w in wanted if w not in self.words]
-        self._learn_words([w for w in words if w.isalpha()])
-        marks = [w for w in words if not w.isalpha()]
-        self.words.update(zip(marks, self._ids(marks), strict=True))
-        self.words[""] = b""
-        for c, (w, marks_) in parts.items():
-            self.chunks[c] = self.words[w] + self.words[marks_]
-        self.chunks.update(zip(other, self._ids(other), strict=True))
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of several texts; what none of the caches knows is learnt together."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        new = list(set().union(*split).difference(self.chunks)) if split else []
-        self._learn(new)
-        known = self.chunks
-        out = [b"".join([known[c] for c in chunks]) for chunks in split]
-        for c in new:
-            if len(c) > 64:
-                del known[c]
-        return out
+                self._learn(some)
+
+    def _ids(self, texts: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct texts one after another, and how many each has."""
+        some, known = texts.to_numpy(zero_copy_only=False).tolist(), self.known
+        (self._learn_words if words else self._learn)([x for x in some if x not in known])
+        found = [known[x] for x in some]
+        for x in some if not words else ():
+            if len(x) > 64:
+                known.pop(x, None)
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct chunks, whose words, marks and other forms recur."""
+        if len(self.known) > CACHE_TEXTS:
+            self.known.clear()
+        plain = pc.if_else(pc.string_is_ascii(chunks), pc.ascii_lower(chunks), chunks)
+        split = pc.extract_regex(plain, WORD_AND_MARKS)
+        told = split.is_valid()
+        word, mark = (pc.if_else(told, split.field(i), pa.scalar(None, pa.string())).dictionary_encode() for i in (0, 1))
+        other = pc.if_else(told, pa.scalar(None, pa.string()), plain).dictionary_encode()
+        ids, sizes, codes = [np.empty(0, "<u4")], [np.zeros(1, np.int64)], []  # text 0 has no ids
+        for part, words in ((word, True), (mark, False), (other, False)):
+            base = sum(map(len, sizes))
+            codes.append(np.asarray(pc.fill_null(pc.add(part.indices.cast(pa.int64()), base), 0)))
+            found = self._ids(part.dictionary, words)
+            ids.append(found[0]), sizes.append(found[1])
+        pairs = np.stack([codes[0] + codes[2], codes[1]], axis=1)  # word or other form, then marks
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        return gathered(ids, sizes, pairs.reshape(-1)), sizes[pairs].sum(axis=1)
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and where each text ends."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        chunks = parts.flatten().dictionary_encode()
+        ids, sizes = self._of_chunks(chunks.dictionary)
+        code = np.asarray(chunks.indices)
+        last = np.cumsum(np.asarray(pc.list_value_length(parts))) - 1
+        return gathered(ids, sizes, code), np.cumsum(sizes[code])[last]
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` (of the given sizes) that the codes name, one after another."""
+    size = sizes[codes]
+    ends = np.cumsum(size)
+    begin = (np.cumsum(sizes) - sizes)[codes] - (ends - size)
+    return ids[np.repeat(begin, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def _encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process, so that its caches outlive a task (but not a task of another operator)."""
+    """One encoder a worker process, so that its cache outlives a task (but not a task of another operator)."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
-        WORKER_CACHES.extend((_ENCODERS[path].chunks, _ENCODERS[path].words))
+        WORKER_CACHES.append(_ENCODERS[path].known)
     return _ENCODERS[path]
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in order, in runs of about ``most`` bytes; a longer text is a run of its own."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    run = (np.cumsum(lengths) - lengths) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield texts.slice(a, b - a)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32. Only longer documents are cut."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
-            keys, out = b.column(0), ([], [], [], [], [])
-            encoded = (x for at in range(0, b.num_rows, 500) for x in encoder.batch(b.column(1).slice(at, 500).to_pylist()))
-            for i, ids in enumerate(encoded):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, x in zip(out, (i, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["_id", "piece", "start", "length", "ids_crc32"])
+            i, out = 0, ([], [], [], [], [])
+            for texts in slices(b.column(1)):
+                ids, ends = encoder.batch(texts)
+                for begin, stop in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+                    whole = ids[begin:stop].tobytes() + end
+                    for piece, at in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[at : at + 4 * capacity]
+                        for column, x in zip(out, (i, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(x)
+                    i += 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["_id", "piece", "start", "length", "ids_crc32"])
 
     key_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(pieces, f"_id {key_type}, piece int, start long, length long, ids_crc32 long")
@@ -164,63 +194,73 @@ def configuration_programme(sizes: np.ndarray, demand: np.ndarray, capacity: int
     return basis, np.maximum(np.linalg.inv(basis) @ demand, 0)
 
 
-def plan_classes(histogram: dict[int, int], capacity: int = 2048, groups: int = 48, large_share: float = 1 / 8) -> list[tuple[list[tuple[int, int]], int]]:
-    """Sequence classes ([(length, how many)...], number of sequences) that hold the histogram exactly."""
+Held = list[tuple[int, int]]  # (length, how many) of one sequence
+Classes = list[tuple[Held, int]]  # sequences of one kind, number of sequences
+
+
+def configured(histogram: dict[int, int], capacity: int, groups: int, large_share: float) -> tuple[Classes, dict[int, int]]:
+    """Sequences of large pieces by linear grouping, and the pieces that the integral programme leaves.
+
+    Rounded sizes say which groups meet in a sequence. Actual pieces replace them group by group, the
+    longest first; in the last place stands the longest piece of any group that the real room takes."""
     left = {n: c for n, c in histogram.items() if c > 0}
-    classes: list[tuple[list[tuple[int, int]], int]] = []
-    if capacity in left:
-        classes.append(([(capacity, 1)], left.pop(capacity)))
     large = sorted((n for n in left if n > capacity * large_share), reverse=True)
-    open_at: dict[int, list[tuple[list[tuple[int, int]], int]]] = defaultdict(list)
-    if large:
-        total = sum(left[n] for n in large)
-        k = max(1, min(groups, total))
-        queues: list[list[list[int]]] = [[] for _ in range(k)]
-        done = 0
-        for n in large:
-            count = left.pop(n)
-            while count:
-                g = min(k - 1, done * k // total)
-                until = -(-(g + 1) * total // k) if g < k - 1 else total
-                take = min(count, until - done)
-                queues[g].append([n, take])
-                done, count = done + take, count - take
-        queues = [q for q in queues if q]
-        sizes = np.asarray([q[0][0] for q in queues])
-        demand = np.asarray([sum(c for _, c in q) for q in queues], float)
-        patterns, x = configuration_programme(sizes, demand, capacity)
-
-        def taken(q: list[list[int]], most: int) -> list[tuple[int, int]]:
-            out = []
-            while most and q:
-                n = min(most, q[0][1])
-                out.append((q[0][0], n))
-                most, q[0][1] = most - n, q[0][1] - n
-                if not q[0][1]:
-                    q.pop(0)
-            return out
-
-        for p in np.argsort(-x):
-            times = int(x[p] + 1e-6)
-            slots = [g for g in range(len(queues)) for _ in range(int(round(patterns[g, p])))]
-            times = min([times, *(sum(c for _, c in queues[g]) // slots.count(g) for g in set(slots))])
-            if not times:
-                continue
-            runs = [taken(queues[g], times) for g in slots]
-            edges = sorted({0, times, *(int(e) for r in runs for e in np.cumsum([c for _, c in r]))})
-            at, used = [0] * len(runs), [0] * len(runs)
-            for a, b in zip(edges, edges[1:], strict=False):
-                counts: dict[int, int] = defaultdict(int)
-                for i, r in enumerate(runs):
-                    counts[r[at[i]][0]] += 1
-                    used[i] += b - a
-                    if used[i] == r[at[i]][1]:
-                        at[i], used[i] = at[i] + 1, 0
-                room = capacity - sum(n * c for n, c in counts.items())
-                open_at[room].append((list(counts.items()), b - a))
-        for q in queues:
-            for n, c in q:
-                left[n] = left.get(n, 0) + c
+    total = sum(left[n] for n in large)
+    if not total:
+        return [], left
+    k = max(1, min(groups, total))
+    members: list[list[int]] = [[] for _ in range(k)]  # lengths of each group, longest first
+    demand, done = np.zeros(k), 0
+    for n in large:
+        first, last = done * k // total, (done + left[n] - 1) * k // total
+        for g in range(first, last + 1):
+            members[g].append(n)
+            demand[g] += min(done + left[n], -(-(g + 1) * total // k)) - max(done, -(-g * total // k))
+        done += left[n]
+    told = [g for g in range(k) if demand[g] > 0]
+    sizes = np.asarray([members[g][0] for g in told])
+    distinct, at = np.unique(-sizes, return_inverse=True)  # groups of one size are one size
+    need = np.bincount(at, demand[told])
+    pools = [sorted({n for j, g in enumerate(told) if at[j] == i for n in members[g]}, reverse=True) for i in range(len(distinct))]
+    patterns, x = configuration_programme(-distinct, need, capacity)
+    every, classes = sorted(large), []
+
+    def longest(most: int, used: dict[int, int]) -> int | None:
+        for i in range(bisect.bisect_right(every, most) - 1, -1, -1):
+            if left[every[i]] > used.get(every[i], 0):
+                return every[i]
+        return None
+
+    for p in np.argsort(-x):
+        times = int(x[p] + 1e-6)
+        slots = [g for g in range(len(pools)) for _ in range(int(round(patterns[g, p])))]
+        while times:
+            used: dict[int, int] = {}
+            for g in slots[:-1]:
+                n = next((n for n in pools[g] if left[n] > used.get(n, 0)), None)
+                if n is None:
+                    break
+                used[n] = used.get(n, 0) + 1
+            else:
+                n = longest(capacity - sum(n * c for n, c in used.items()), used)
+                if n is not None:
+                    used[n] = used.get(n, 0) + 1
+                some = min([times, *(left[n] // c for n, c in used.items())]) if used else 0
+                for n, c in used.items():
+                    left[n] -= c * some
+                if some:
+                    classes.append((list(used.items()), some))
+                    times -= some
+                    continue
+            break
+    return classes, {n: c for n, c in left.items() if c}
+
+
+def best_fit(classes: Classes, left: dict[int, int], capacity: int) -> Classes:
+    """Every piece of ``left``, longest first, in the open sequence of least room that takes it."""
+    open_at: dict[int, Classes] = defaultdict(list)
+    for held, times in classes:
+        open_at[capacity - sum(n * c for n, c in held)].append((held, times))
     for n in sorted(left, reverse=True):
         count = left[n]
         while count:
@@ -241,7 +281,36 @@ def plan_classes(histogram: dict[int, int], capacity: int = 2048, groups: int =
                 count, times = 0, times - 1
             if times and held:
                 open_at[room].append((held, times))
-    return classes + [x for held in open_at.values() for x in held]
+    return [x for held in open_at.values() for x in held]
+
+
+def plan_classes(histogram: dict[int, int], capacity: int = 2048, groups: int = 48, large_share: float = 1 / 4, keep: tuple[float, ...] = (1, 0.98, 0.95, 0.9, 0.8, 0.7, 0.5, 0.25, 0)) -> Classes:
+    """Sequence classes ([(length, how many)...], number of sequences) that hold the histogram exactly.
+
+    The last patterns meet depleted groups, and what they fill badly costs small pieces. So the plan is
+    made with each share in ``keep`` of the configured sequences, in order of their patterns'
+    multiplicity; the pieces of the others are best-fit with the rest. The first plan with the fewest
+    sequences is taken. Share 0 is best-fit decreasing, so the plan is never worse than that."""
+    pieces = {n: c for n, c in histogram.items() if c > 0}
+    whole: Classes = [([(capacity, 1)], pieces.pop(capacity))] if capacity in pieces else []
+    made, left = configured(pieces, capacity, groups, large_share)
+    total, least = sum(t for _, t in made), -(-sum(n * c for n, c in pieces.items()) // capacity)
+    best: Classes | None = None
+    for share in keep:
+        most, rest, stay = int(share * total), dict(left), []
+        for held, times in made:
+            n = min(times, most)
+            most -= n
+            if n:
+                stay.append((held, n))
+            for length, c in held if times > n else ():
+                rest[length] = rest.get(length, 0) + c * (times - n)
+        plan = best_fit(stay, rest, capacity)
+        if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
+            best = plan
+        if sum(t for _, t in best) == least:
+            break
+    return whole + (best or [])
 
 
 def slots_by_length(classes: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,12 +1,16 @@
 """Training-data operators on rows where a shortened job gave other results."""
 
+import bisect
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hammerline.llm import licenses, mixing
+from hammerline.llm import licenses, mixing, packing
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
 def test_small_and_skewed_sources_meet_their_targets(spark):
@@ -56,3 +60,50 @@ def test_windows_by_brute_force(spark):
         want = {label for label, t in licenses.TEMPLATES for x in blocks if len(x & set(t.split())) >= 0.85 * len(set(t.split()))}
         # a window within one line is part of that line's block
         assert (got[0] if got else set()) == want
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Number of sequences, piece by piece."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_are_no_worse_than_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    lengths = [min(2048, max(1, int(rng.lognormvariate(5.5 + seed / 4, 1.1)))) for _ in range(3000)]
+    histogram = Counter(lengths)
+    classes = packing.plan_classes(dict(histogram))
+    held = Counter()
+    for pieces, times in classes:
+        assert times > 0 and sum(n * c for n, c in pieces) <= 2048
+        for n, c in pieces:
+            held[n] += c * times
+    assert held == histogram
+    assert sum(t for _, t in classes) <= best_fit_decreasing(lengths, 2048)
+
+
+def test_configured_sequences_hold_several_large_pieces():
+    rng = random.Random(8)
+    histogram = dict(Counter(rng.randint(100, 1400) for _ in range(4000)))
+    made, left = packing.configured(histogram, 2048, 48, 1 / 4)
+    several = sum(t for held, t in made if sum(c for n, c in held if n > 512) >= 2)
+    assert several > sum(t for _, t in made) / 2
+    assert sum(c * t for held, t in made for _, c in held) + sum(left.values()) == 4000
+
+
+def test_ids_equal_those_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encoder = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    odd = ["Don't I'll we've it's", "a  b\t\tc\r\nd", "İstanbul H̱ello ẞ ß ﬁ É", "<|endoftext|> 3.14, foo-bar's", "", None, "日本語 テキスト! 1234 \x00\x01 éÉ", "|||| !!! ''' 'S 's", "ὈΔΥΣΣΕΎΣ ΣΑΣ,", "x" * 300, " ".join(["Word,"] * 9000)]
+    for slices in ([odd], [[t] for t in odd]):
+        for texts in slices:
+            ids, ends = encoder.batch(pa.array(texts, pa.string()))
+            for t, a, b in zip(texts, [0, *ends.tolist()], ends.tolist(), strict=False):
+                assert ids[a:b].tolist() == own.encode(t or "", add_special_tokens=False).ids
