@@ -1,26 +1,31 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of words that crosses line ends, twice the longest template wide, since
-notices are wrapped. A template is a set of content words; a block holds it if it has at least
-``containment`` of them. Windows are formed only in texts whose words as a whole hold a template, one
-for each template word it may start with, unless an earlier one holds it whole. Tokens are ordered by their frequency over all blocks of the corpus, rarest
-first. A template with need a = ceil(containment * size) can only be held by a block that has one of
-its first size - a + 1 tokens (prefix filter), that has at least a template tokens (length filter),
-and whose shared tokens from the matching place on can still reach a (positional filter). What passes
-is verified on the full sets. Only template tokens of a block can count, so blocks travel as these.
-
-Everything is DataFrame expressions; the broadcast tables hold the template tokens only, a constant.
+A template is a notice, or a paragraph of a license, as the set of its word pairs (two consecutive words),
+so words that merely stand in the same line are no match. Texts are read as one sequence of words: line
+ends don't matter, wrapped and commented notices are found. A block is a run of template pairs of which
+none starts more than ``BREAK`` words after the one before; a block holds a template if it has at least
+``containment`` of its pairs.
+
+Pairs are ordered by their frequency over all blocks of the corpus, rarest first. With need =
+ceil(containment * size) a template can only be held by a block of at least need pairs (length filter);
+their first size - need + 1 pairs share one (prefix filter, on both sides); and at the k-th shared pair,
+at place i of the block and j of the template, k and the shorter of the two rests must reach need
+(positional filter). What passes is verified on the full sets.
+
+Everything is DataFrame expressions; the broadcast tables hold the template pairs only, a constant.
 Edge cases: null or empty text has no word, no label and score 0; a repeated row gives a repeated
 result row (labels are those of all rows of the id); rows with a null id get the phrases but no
-template label; other columns are ignored.
+template label; of templates or blocks with equal containment each counts; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
@@ -32,22 +37,42 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Content words of common license notices, by label.
+#: Words between two template pairs that end a block.
+BREAK = 12
+
+#: Public wording of license notices and paragraphs, by label.
 TEMPLATES = [
-    ("mit", "mit license"),
-    ("mit", "permission hereby granted free charge any person obtaining copy software associated documentation files"),
-    ("apache-2.0", "licensed apache license version 2 0"),
-    ("gpl-3.0", "gnu general public license version 3"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("cc-by", "creative commons attribution license"),
-    ("cc-by-sa", "creative commons attribution sharealike license"),
-    ("bsd", "bsd license"),
-    ("bsd", "redistribution source binary forms modification permitted provided following conditions met"),
-    ("mpl-2.0", "mozilla public license 2 0"),
-    ("unlicense", "free unencumbered software released public domain"),
+    ("mit", "MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-2.0", "Apache License, Version 2.0"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("gpl-2.0", "GNU General Public License, version 2"),
+    ("gpl-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("gpl-3.0", "GNU General Public License, version 3"),
+    ("gpl-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("cc-by", "Creative Commons Attribution License"),
+    ("cc-by", "Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", "CC BY-NC 4.0"),
+    ("cc-by-sa", "CC BY-SA 4.0"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike License"),
+    ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("bsd", "BSD License"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("mpl-2.0", "Mozilla Public License, version 2.0"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("reserved", "rights reserved"),
-    ("proprietary", "confidential proprietary unauthorized copying strictly prohibited"),
+    ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited"),
+    ("proprietary", "This document contains confidential and proprietary information"),
 ]
 
 
@@ -79,51 +104,62 @@ def phrase_places(text: Column, phrases: dict[str, str] = PHRASES) -> Column:
     return F.when(text.rlike(f"(?i)(?:{near})"), bound)
 
 
-def windows(text: Column, vocabulary: Column, width: int) -> Column:
-    """array<array<string>>: vocabulary words of each window of ``width`` words that crosses a line end."""
-    def of_line(line: Column, i: Column) -> Column:
-        return F.transform(F.array_remove(F.split(F.lower(line), GAP), ""), lambda w: F.struct(i.alias("line"), w.alias("token")))
+def words_of(text: str) -> list[str]:
+    return [w for w in re.split(GAP, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
+def pairs_of(text: str) -> list[str]:
+    """Distinct word pairs of a template."""
+    words = words_of(text)
+    return sorted({f"{a} {b}" for a, b in itertools.pairwise(words)})
+
+
+def blocks_of(text: Column, vocabulary: list[str], gap: int = BREAK) -> Column:
+    """array<array<string>>: distinct vocabulary pairs of each block of the text, in order."""
+    first, second = (sorted({p.split()[k] for p in vocabulary}) for k in (0, 1))
+    words = F.filter(F.split(lower_ascii(text), GAP), lambda w: w != "")
+
+    def hits(w: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            after = F.get(w, i + 1)
+            return F.when(x.isin(first) & after.isin(second), F.struct(i.alias("at"), F.concat_ws(" ", x, after).alias("pair")))
 
-    words = F.transform(F.flatten(F.transform(F.split(text, "\n"), of_line)), lambda x, p: F.struct(p.alias("at"), x["line"].alias("line"), x["token"].alias("token")))
-    hits = F.filter(words, lambda x: F.array_contains(vocabulary, x["token"]))
+        return F.filter(F.transform(w, one), lambda e: e.isNotNull() & e["pair"].isin(vocabulary))
 
-    def around(h: Column) -> Column:
-        def window(x: Column, i: Column) -> Column:
-            near = F.filter(F.slice(h, i + 1, width), lambda y: y["at"] < x["at"] + width)
-            before = F.get(h, i - 1)
-            return F.struct(F.transform(near, lambda y: y["token"]).alias("tokens"), ((F.element_at(near, -1)["line"] > x["line"]) & ((i == 0) | (F.element_at(near, -1)["at"] >= before["at"] + width))).alias("new"))
+    def cut(h: Column) -> Column:
+        return F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x["at"] - F.get(h, i - 1)["at"] > gap), i)), lambda i: i.isNotNull())
 
-        return F.transform(F.filter(F.transform(h, window), lambda w: w["new"]), lambda w: F.array_distinct(w["tokens"]))
+    def told(h: Column) -> Column:
+        return F.transform(F.array(cut(h)), lambda c: F.transform(c, lambda at, k: F.array_distinct(F.transform(F.slice(h, at + 1, F.coalesce(F.get(c, k + 1), F.size(h)) - at), lambda x: x["pair"]))))
 
-    # one array element binds the hits, so that they are found once a text
-    return F.get(F.transform(F.array(hits), around), F.lit(0))
+    # one-element arrays bind words and hits, so that they are found once a text
+    return F.flatten(F.flatten(F.transform(F.array(words), lambda w: F.transform(F.array(hits(w)), lambda h: F.flatten(told(h))))))
 
 
 def template_matches(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.85) -> DataFrame:
     """id, label, containment of every template that some block of the text holds."""
     spark = docs.sparkSession
-    rows = [(i, label, sorted(set(words.split()))) for i, (label, words) in enumerate(templates)]
-    known = spark.createDataFrame(rows, "template int, label string, tokens array<string>").withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(containment) * F.size("tokens") - F.lit(1e-9)).cast("int")))
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, tokens in rows for t in tokens})])
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.array_intersect(F.split(F.lower(x), GAP), vocabulary))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lines.alias("lines"))
-    needs = [(tokens, max(1, math.ceil(containment * len(tokens) - 1e-9))) for _, _, tokens in rows]
-    every = F.array_distinct(F.flatten("lines"))
-    wanted = F.exists(F.array(every), lambda t: functools.reduce(Column.__or__, [F.size(F.array_intersect(t, F.array(*[F.lit(x) for x in tokens]))) >= need for tokens, need in needs]))
-    crossing = F.when((F.size("lines") > 1) & wanted, windows(F.col("text"), vocabulary, 2 * max(len(tokens) for _, _, tokens in rows)))
-    blocks = texts.select("id", F.explode(F.concat("lines", F.coalesce(crossing, F.expr("cast(array() as array<array<string>>)")))).alias("tokens"))
-    held = written(blocks.where(F.size("tokens") > 0), "license-blocks")
-    frequency = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    # template tokens in global order: a constant number of rows
-    order = known.select("template", "label", "need", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(frequency), "token", "left")
-    ordered = order.groupBy("template", "label", "need", "tokens").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("sorted"))
-    prefix = ordered.select("template", "label", "need", "tokens", F.size("tokens").alias("size"), F.posexplode("sorted").alias("place", "entry")).where(F.col("place") < F.col("size") - F.col("need") + 1)
-    prefix = prefix.select("template", "label", "need", "tokens", "size", "place", F.col("entry.token").alias("token"), F.col("entry.n").alias("n")).withColumnRenamed("tokens", "template_tokens")
-    pairs = held.withColumn("token", F.explode("tokens")).join(F.broadcast(prefix), "token").where(F.size("tokens") >= F.col("need"))
-    reachable = F.least(F.col("size") - F.col("place"), F.size("tokens"))
-    shared = F.size(F.array_intersect("tokens", "template_tokens"))
-    matched = pairs.where(reachable >= F.col("need")).where(shared >= F.col("need"))
-    return matched.groupBy("id", "label").agg(F.max(shared / F.col("size")).alias("containment")).withColumnRenamed("id", id_col)
+    rows = [(i, label, pairs_of(text)) for i, (label, text) in enumerate(templates)]
+    rows = [(i, label, pairs, max(1, math.ceil(containment * len(pairs) - 1e-9)), len(pairs)) for i, label, pairs in rows if pairs]
+    known = spark.createDataFrame(rows, "template int, label string, template_pairs array<string>, need int, size int")
+    vocabulary = sorted({p for _, _, pairs, *_ in rows for p in pairs})
+    blocks = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(blocks_of(F.col(text_col), vocabulary)).alias("pairs"))
+    held = written(blocks.where(F.size("pairs") >= min((need for *_, need, _ in rows), default=1)), "license-blocks")
+    # template pairs only: a constant number of rows
+    frequency = held.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("pair"))
+    ordered = known.withColumn("pair", F.explode("template_pairs")).join(F.broadcast(frequency), "pair", "left").groupBy("template", "label", "need", "size", "template_pairs").agg(F.sort_array(F.collect_list(order)).alias("sorted"))
+    prefix = ordered.select("template", "label", "need", "size", "template_pairs", F.posexplode("sorted").alias("j", "entry")).where(F.col("j") <= F.col("size") - F.col("need")).select("template", "label", "need", "size", "template_pairs", "j", F.col("entry.pair").alias("pair"))
+    distinct = held.dropDuplicates(["id", "pairs"])
+    placed = distinct.select("id", "pairs", F.explode("pairs").alias("pair")).join(F.broadcast(frequency), "pair")
+    placed = placed.withColumn("i", F.row_number().over(W.partitionBy("id", "pairs").orderBy("n", "pair")) - 1)
+    length = F.size("pairs")
+    met = placed.join(F.broadcast(prefix), "pair").where((length >= F.col("need")) & (F.col("i") <= length - F.col("need")))
+    shared_so_far = F.row_number().over(W.partitionBy("id", "pairs", "template").orderBy("j"))
+    reach = met.withColumn("reach", shared_so_far + F.least(length - F.col("i"), F.col("size") - F.col("j")) - 1)
+    reaching = reach.groupBy("id", "pairs", "template", "label", "need", "size", "template_pairs").agg(F.min("reach").alias("reach")).where(F.col("reach") >= F.col("need"))
+    shared = F.size(F.array_intersect("pairs", "template_pairs"))
+    return reaching.where(shared >= F.col("need")).groupBy("id", "label").agg(F.max(shared / F.col("size")).alias("containment")).withColumnRenamed("id", id_col)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.85) -> DataFrame:

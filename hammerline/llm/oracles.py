@@ -3,7 +3,8 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES
+from .licenses import BREAK, PHRASES, TEMPLATES, pairs_of
+from .mixing import BLOCKS, FILLS, LEAST_BLOCKS
 from .quality import ERROR, MAX_STRATA, RISK, RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -38,21 +39,26 @@ def license_scan(containment: float = 0.85) -> str:
     for phrase, label in PHRASES.items():
         hit = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split(), 1))
         places.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: {hit})) AS place FROM d")
-    templates = ", ".join(f"({i}, '{label}', {sorted(set(words.split()))})" for i, (label, words) in enumerate(TEMPLATES))
+    templates = ", ".join(f"({i}, '{label}', {pairs_of(text)})" for i, (label, text) in enumerate(TEMPLATES))
     return rf"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS ({" UNION ALL ".join(places)}),
 g AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
-t(id, label, words) AS (VALUES {templates}),
-x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-y AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(lower(line), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM x),
-m AS (SELECT doc_id, label, max(len(list_intersect(y.words, t.words)) / len(t.words)) AS best FROM y, t WHERE len(list_intersect(y.words, t.words)) >= {containment} * len(t.words) - 1e-9 GROUP BY doc_id, label),
+t(id, label, pairs) AS (VALUES {templates}),
+v AS (SELECT DISTINCT unnest(pairs) AS pair FROM t),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM d),
+x AS (SELECT doc_id, place, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY place) AS pair FROM u),
+h AS (SELECT x.doc_id, x.place, x.pair, CASE WHEN x.place - lag(x.place) OVER (PARTITION BY x.doc_id ORDER BY x.place) <= {BREAK} THEN 0 ELSE 1 END AS new FROM x JOIN v ON x.pair = v.pair),
+i AS (SELECT doc_id, pair, sum(new) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS block FROM h),
+k AS (SELECT t.id, label, len(pairs) AS size, unnest(pairs) AS pair FROM t),
+o AS (SELECT i.doc_id, k.label, count(DISTINCT i.pair) / any_value(k.size) AS held FROM i JOIN k ON i.pair = k.pair GROUP BY i.doc_id, i.block, k.id, k.label HAVING count(DISTINCT i.pair) >= {containment} * any_value(k.size) - 1e-9),
+m AS (SELECT doc_id, label, max(held) AS best FROM o GROUP BY doc_id, label),
 a AS (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m),
 z AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM a GROUP BY doc_id),
-v AS (SELECT doc_id, max(best) AS best FROM m GROUP BY doc_id)
+e AS (SELECT doc_id, max(best) AS best FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(v.best, 0) END AS DOUBLE) AS score
-FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN z ON d.doc_id = z.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
+  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(e.best, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN z ON d.doc_id = z.doc_id LEFT JOIN e ON d.doc_id = e.doc_id"""
 
 
 def quality_rules() -> str:
@@ -100,7 +106,34 @@ SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, coalesce(l.comp
 FROM d LEFT JOIN z ON d.doc_id = z.doc_id LEFT JOIN e ON z.same = e.same LEFT JOIN l ON l.doc_id = e.rep"""
 
 
+def source_mixing(repeats: float = 1.5, seed: int = 11) -> str:
+    """The exponent in closed form: without a budget a source of share x is read (largest / x) ** (1 - t) times."""
+    rounds, last = [], "s0"
+    for i in range(1, FILLS + 1):
+        rounds.append(f"""f{i} AS (SELECT *, sum(CASE WHEN taken IS NULL AND n <= rest THEN n END) OVER (PARTITION BY source, copy ORDER BY key, block ROWS UNBOUNDED PRECEDING) AS run{i} FROM {last}),
+g{i} AS (SELECT * REPLACE (CASE WHEN taken IS NOT NULL THEN taken WHEN n <= rest AND run{i} <= rest THEN {i} END AS taken) FROM f{i}),
+s{i} AS (SELECT * REPLACE (rest - coalesce(sum(CASE WHEN taken = {i} THEN n END) OVER (PARTITION BY source, copy), 0) AS rest) FROM g{i})""")
+        last = f"s{i}"
+    joined = ",\n".join(rounds)
+    return rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS key FROM documents),
+t AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+p AS (SELECT max(tokens) AS most, min(tokens) FILTER (tokens > 0) AS least, CAST(sum(tokens) AS BIGINT) AS total, count(*) AS sources FROM t),
+e AS (SELECT source, tokens, CASE WHEN tokens = 0 THEN 1.0 ELSE round(pow(CAST(most AS DOUBLE) / tokens, CASE WHEN most = least THEN 1.0 ELSE least(1.0, ln({repeats}) / ln(CAST(most AS DOUBLE) / least)) END), 12) END AS epochs,
+  greatest(greatest(1, least({LEAST_BLOCKS}, {BLOCKS} // sources)), CAST(({BLOCKS} * CAST(tokens AS HUGEINT) + greatest(total, 1) - 1) // greatest(total, 1) AS BIGINT)) AS blocks FROM t, p),
+q AS (SELECT *, round(epochs * tokens, 6) AS quota FROM e),
+r AS (SELECT d.doc_id, d.source, d.n_tokens, CAST('0x' || substr(md5(d.key || ':{seed}'), 1, 15) AS BIGINT) % q.blocks AS block, q.epochs, q.tokens, q.quota FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+b AS (SELECT source, block, epochs, tokens, quota, CAST(sum(n_tokens) AS BIGINT) AS n FROM r GROUP BY ALL),
+c AS (SELECT *, unnest(range(greatest(CAST(ceil(epochs) AS INT), 1))) AS copy FROM b),
+s0 AS (SELECT *, md5(concat_ws(':', source, block, copy, {seed})) AS key, CASE WHEN copy < floor(epochs) OR tokens = 0 THEN 0 END AS taken, quota - copy * tokens AS rest FROM c),
+{joined},
+k AS (SELECT source, block, copy, quota, copy * tokens + coalesce(sum(n) OVER (PARTITION BY source, copy ORDER BY taken, key, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {last} WHERE taken IS NOT NULL)
+SELECT r.doc_id, r.source, r.n_tokens, r.block, CAST(k.copy AS INT) AS copy, round(CASE WHEN k.quota > 0 THEN least(1.0, k.before / k.quota) ELSE 0 END, 9) AS mix_key
+FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source AND r.block = k.block"""
+
+
 ORACLE_SQL = {
+    "op8_source_mixing": source_mixing(),
     "op2_substring_dedup": substring_dedup(),
     "op3_warc_captures": WARC,
     "op4_license_scan": license_scan(),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hammerline.llm import licenses, mixing, packing
+from test_training_operators import held_templates
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -30,7 +31,39 @@ def test_small_and_skewed_sources_meet_their_targets(spark):
 def test_blocks_stay_within_the_bound():
     for sources in (1, 20, 900, 1000, mixing.MAX_SOURCES):
         for n in (10, 200_000, 10**9):
-            assert sources * mixing.blocks_of(n, 200_000, sources * n, sources) <= mixing.MAX_BLOCKS + sources
+            assert sources * mixing.blocks_of(n, sources * n, sources) <= 2 * mixing.BLOCKS + sources
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_planned_shares_are_realised(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    totals = {r.source: r.n for r in docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    planned = mixing.plan(list(totals.items()), max_repeats=1.5)
+    rows = mixing.mix_ids(docs, max_repeats=1.5)
+    got = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    whole, most = sum(n * e for _, n, e in planned), sum(got.values())
+    assert rows.select("doc_id").distinct().count() == docs.count()
+    assert max(e for _, _, e in planned) > 1.2
+    for s, n, e in planned:
+        assert got[s] <= 1.5 * n and got[s] / most == pytest.approx(n * e / whole, rel=0.02)
+
+
+def test_mixing_of_awkward_rows(spark):
+    rows = [(None, "a b", "s", "x"), (None, "c", "s", "x"), (1, None, None, "x"), (1, "d e f", None, "x"), (2, "", "empty", "x"), (3, "g " * 5000, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _block string")
+    got = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(docs).collect())
+    assert set(got) == {r[:3] for r in rows} and max(got.values()) <= 2
+    assert mixing.mix(docs).columns == ["doc_id", "text", "source", "_block", "_copy", "_mix_key"]
+    assert mixing.mix(docs.limit(0)).count() == 0
+    budget = mixing.mix(docs, budget_tokens=100, max_repeats=None)
+    assert budget.where("source = 's' and doc_id = 3").count() == 0
+
+
+def test_joined_and_broadcast_plans_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 50), f"s{i % 7 % 3}") for i in range(500)], "doc_id long, text string, source string")
+    few = sorted(map(tuple, mixing.mix_ids(docs).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, mixing.mix_ids(docs).collect())) == few
 
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
@@ -47,19 +80,28 @@ def test_wrapped_notices(spark):
     assert got[1][1] == got[2][1] == 1.0 and all(got[i] == (set(), 0.0) for i in (5, 6, 8, 9))
 
 
-def test_windows_by_brute_force(spark):
+def test_words_that_only_share_a_line_are_no_notice(spark):
+    texts = {1: "you may read the MIT brochure and the driver license rules", 2: "This has 2 0 and mozilla has a public website for license holders", 3: "permission of any person, free of charge: obtaining a copy of associated files is hereby software"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert all(r.labels == [] and r.score == 0.0 for r in licenses.scan(docs).collect())
+
+
+def test_blocks_by_brute_force(spark):
     rng = random.Random(5)
-    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
-    texts = [(i, "".join(rng.choice(words + ["x"] * 30) + rng.choice("   \n") for _ in range(rng.randint(1, 300)))) for i in range(60)]
-    width = 2 * max(len(set(t.split())) for _, t in licenses.TEMPLATES)
-    for r in licenses.template_matches(spark.createDataFrame(texts, "id long, text string"), "id", "text").groupBy("id").agg(F.collect_set("label").alias("labels")).collect():
-        texts[r.id] += (set(r.labels),)
-    for _, text, *got in texts:
-        flat = text.split()
-        blocks = [set(x.split()) for x in text.split("\n")] + [set(flat[k : k + width]) for k in range(len(flat))]
-        want = {label for label, t in licenses.TEMPLATES for x in blocks if len(x & set(t.split())) >= 0.85 * len(set(t.split()))}
-        # a window within one line is part of that line's block
-        assert (got[0] if got else set()) == want
+    notices = [licenses.words_of(t) for _, t in licenses.TEMPLATES]
+    texts = []
+    for i in range(80):
+        words = []
+        for _ in range(rng.randint(1, 12)):
+            notice = list(rng.choice(notices))
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                notice.insert(rng.randrange(len(notice) + 1), "x")
+            words += notice[: rng.randint(1, len(notice))] if rng.random() < 0.3 else notice
+            words += ["y"] * rng.choice((0, 3, 11, 12, 13, 40))
+        texts.append((i, "".join(w + rng.choice(" \n,") for w in words), words))
+    docs = spark.createDataFrame([t[:2] for t in texts] + [(900, None), (901, ""), (None, "MIT License")], "id long, text string")
+    got = {r.id: set(r.labels) for r in licenses.template_matches(docs, "id", "text").groupBy("id").agg(F.collect_set("label").alias("labels")).collect()}
+    assert got == {i: labels for i, _, words in texts if (labels := held_templates(words))}
 
 
 def best_fit_decreasing(lengths, capacity):
