@@ -8,7 +8,7 @@ N-grams are 32-bit hashes, so that a text is counted without a Python loop.
 Edge cases: null text and text without letters is ``und`` with score 0; with nothing to learn from,
 every document is ``und``; languages at equal distance resolve to the smallest name; n-grams of
 equal frequency are ranked by their hash; repeated rows count as often as they occur; rows with a
-null language are never learnt from.
+null language are never learnt from; input columns named lang_pred or score give way to the results.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import lean
 
 LENGTHS = (1, 2, 3, 4)
 PROFILE, MAX_LANGUAGES = 400, 500
+#: Parts of a language's n-grams, each ranked on its own before the driver merges their heads.
+SALTS = 8
 #: N-gram counts that a training task holds before it adds them up.
 HELD_GRAMS = 2_000_000
 UNKNOWN = "und"
@@ -101,13 +103,16 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", profi
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = totals.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= profile)
-    found: dict[str, list[int]] = defaultdict(list)
-    for r in best.orderBy("lang", "rank").limit(MAX_LANGUAGES * profile + 1).collect():  # profiles only; more languages raise
-        found[r["lang"]].append(r["gram"])
-    if len(found) > MAX_LANGUAGES:
+    # the head of a language is among the heads of its parts, so no task sorts a whole language
+    salted = W.partitionBy("lang", "salt").orderBy(F.desc("n"), "gram")
+    heads = totals.withColumn("salt", F.pmod("gram", F.lit(SALTS))).withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= profile)
+    held: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    most = MAX_LANGUAGES * SALTS * profile
+    for r in heads.select("lang", "gram", "n").limit(most + 1).collect():  # heads only; more languages raise
+        held[r["lang"]].append((-r["n"], r["gram"]))
+    if len(held) > MAX_LANGUAGES or sum(map(len, held.values())) > most:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return dict(found)
+    return {lang: [g for _, g in sorted(grams)[:profile]] for lang, grams in held.items()}
 
 
 class Classifier:
@@ -133,6 +138,7 @@ class Classifier:
 def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", size: int = PROFILE) -> DataFrame:
     """``docs`` with lang_pred and score; every other column passes through."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most MAX_LANGUAGES * size numbers
+    docs = docs.drop("lang_pred", "score")
     names, at = docs.columns, docs.columns.index(text_col)
 
     @lean

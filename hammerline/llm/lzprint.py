@@ -6,8 +6,9 @@ parsed once and both tails continue from the same dictionary.
 
 Edge cases: a null text counts as empty; an empty text has the fingerprint of no phrase (all ones),
 and two empty texts have likeness 1; the next document of the last is the first, and a single
-document is its own next; equal ids are ordered by text; rows with a null id come first; other
-columns are ignored.
+document is its own next; equal ids are ordered by a hash of their text; rows with a null id come
+first, ordered likewise; a frequent id and null ids are dealt over parts by that hash (equal texts of
+an id stay together); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,25 +100,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Rows dealt by ranges of the id, each range followed by a guest: the first row of the next range
-    (after the last range: of the first). Only one row a range crosses over, and a range's first
-    row is found from ids alone."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Rows dealt by ranges of (id, hash of the text), each range followed by a guest: the first row of
+    the next range (after the last range: of the first). Only one row a range crosses over, and a
+    range's first row is found from ids and hashes alone."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("id", shares, 20 * parts)).first()[0] or [])) if shares else []
-    # a position in the sorted array of at most `parts` bounds, without a join
-    part = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("id")))) if bounds else F.lit(0)
-    dealt = rows.withColumn("part", part.cast("int"))
-    firsts = sorted((r["part"], r["nulls"], r["least"]) for r in dealt.groupBy("part").agg(F.count_if(F.col("id").isNull()).alias("nulls"), F.min("id").alias("least")).collect())  # one row a range
+    cut = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls"), *([F.percentile_approx("id", shares, 20 * parts).alias("cuts")] if shares else [])).first()
+    bounds = np.asarray((cut["cuts"] if shares else None) or [], np.int64)  # one a part; a frequent id stands here several times
+    for_nulls = min(parts, -(-parts * cut["nulls"] // max(1, cut["n"])))
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series, known: pd.Series, ties: pd.Series) -> pd.Series:
+        """Null ids come first, in ``for_nulls`` parts; an id that fills several ranges has a part of each hash range."""
+        own, known, cuts = ids.to_numpy(), known.to_numpy(), shared.value
+        low, high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+        steps = np.where(known, np.maximum(high - low, 1), max(for_nulls, 1))
+        place = ((ties.to_numpy().astype(np.int64) >> np.int64(32)) + (1 << 31)) * steps >> 32
+        # the rows before an id's first bound share a part with the rows of the bound before, as those after its last
+        within = np.where(high > low, low + 1 + place, low)
+        return pd.Series(np.where(known, for_nulls + within, place).astype(np.int32))
+
+    dealt = rows.withColumn("part", part_of(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), F.col("tie")))
+    at = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("tie"))
+    firsts = [(r["part"], r["first"]["id"], r["first"]["tie"]) for r in dealt.groupBy("part").agg(F.min(at).alias("first")).orderBy("part").collect()]  # one row a range
     if not firsts:
         return dealt.withColumn("guest", F.lit(False)).limit(0)
-    # the first row of a range: its smallest id (or a null id, in the first range), then its smallest text
-    keys = [(p, None if nulls else least, firsts[i - 1][0]) for i, (p, nulls, least) in enumerate(firsts)]
-    spark = docs.sparkSession
-    small = spark.createDataFrame(keys, "part int, first long, before int")  # one row a range
-    heads = dealt.join(F.broadcast(small), "part").where(F.col("id").eqNullSafe(F.col("first"))).groupBy("part", "before").agg(F.min("text").alias("text"), F.first("first").alias("id"))
-    guests = heads.select("id", "text", F.col("before").alias("part"), F.lit(True).alias("guest"))
-    return dealt.select("id", "text", "part", F.lit(False).alias("guest")).union(guests)
+    keys = [(p, i, t, firsts[k - 1][0]) for k, (p, i, t) in enumerate(firsts)]
+    small = spark.createDataFrame(keys, "part int, first long, least long, before int")  # one row a range
+    heads = dealt.join(F.broadcast(small), "part").where(F.col("id").eqNullSafe(F.col("first")) & (F.col("tie") == F.col("least"))).groupBy("part", "before").agg(F.min("text").alias("text"), F.first("first").alias("id"), F.first("tie").alias("tie"))
+    guests = heads.select("id", "text", "tie", F.col("before").alias("part"), F.lit(True).alias("guest"))
+    return dealt.select("id", "text", "tie", "part", F.lit(False).alias("guest")).union(guests)
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,6 +170,6 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     rows = in_order(docs, id_col, text_col, parts)
-    rows = rows.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "guest", "id", "text")
+    rows = rows.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "guest", "id", "tie", "text")
     done = rows.mapInArrow(compared, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return done.withColumnRenamed("id", id_col)

@@ -12,7 +12,8 @@ no bucket with probability 8e-7, and its estimate falls short of the slack at fi
 
 Edge cases: a null text, or one without words, has an empty set, size 0, and is its own component;
 fewer words than a shingle make one shingle of the whole sequence; rows that share an id count as one
-document; rows with a null id keep a null component and are not linked; ties go to the smallest id.
+document, whose set is the one of smallest digest, and have its component; rows with a null id keep a
+null component and are not linked; ties go to the smallest id.
 """
 
 from __future__ import annotations
@@ -240,6 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     signed = written(signatures(docs, width, id_col, text_col), "signatures")
     linked = signed.where("digest is not null and id is not null")
+    repeated = written(linked.groupBy("id").agg(F.min("digest").alias("digest"), F.max("digest").alias("last")).where("digest < last").drop("last"), "repeated")
+    several = not repeated.isEmpty()
+    if several:  # the other sets of an id are no document
+        linked = linked.join(repeated.select("id", F.col("digest").alias("own")), "id", "left").where("own is null or digest = own").drop("own")
     groups = written(linked.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "groups")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,12 +273,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), b.column("blocks"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "family", "blocks", "shingles"])
+            sets = [shingles(t.as_py()).tobytes() for t in b.column("_text")]
+            own = pa.array([hashlib.md5(x).digest() == d for x, d in zip(sets, b.column("digest").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), b.column("blocks"), pa.array(sets, pa.binary())], ["id", "family", "blocks", "shingles"]).filter(own)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("_text"))
-    sizes = families.join(groups.select(F.col("rep").alias("id"), "n_shingles"), "id").groupBy("component").agg(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES).alias("blocks"))
-    named = written(families.join(sizes, "component").select("id", F.col("component").alias("family"), "blocks"), "families")
+    reps = groups.select(F.col("rep").alias("id"), "n_shingles", "digest")
+    sizes = families.join(reps, "id").groupBy("component").agg(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES).alias("blocks"))
+    named = written(families.join(sizes, "component").join(reps, "id").select("id", F.col("component").alias("family"), "blocks", "digest"), "families")
     sets = texts.join(named, "id").mapInArrow(full_sets, "id long, family long, blocks long, shingles binary")
     links = _block_pairs(sets, "blocks", "family").mapInArrow(_confirmed(percent), "a long, b long")
     labels = shrink(written(links.distinct(), "links"))
@@ -281,6 +288,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # a digest of a third of the rows is split by salts; the repeated side holds only digests that change a row
     salts = 16
     classes = written(own.where("most > rep or class < rep").select("digest", "class"), "classes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    result = signed.select("id", "n_shingles", "digest").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(classes, ["digest", "salt"], "left")
+    every = signed.select("id", "n_shingles", "digest")
+    if several:
+        every = every.join(repeated.select("id", F.col("digest").alias("own")), "id", "left").select("id", "n_shingles", F.coalesce("own", "digest").alias("digest"))
+    result = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(classes, ["digest", "salt"], "left")
     result = result.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("component_id"))
     return result.withColumn("kept", F.col(id_col) == F.col("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .licenses import BREAK, PHRASES, TEMPLATES, pairs_of
 from .mixing import BLOCKS, FILLS, LEAST_BLOCKS
-from .quality import ERROR, MAX_STRATA, RISK, RULES
+from .quality import ERROR, RISK, RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -79,7 +79,7 @@ f AS (SELECT e.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
 v AS ({measured}),
 g(rule, step, cutoff) AS (VALUES {grid}),
 k AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT stratum, count(*) FILTER (good) AS n FROM f JOIN k ON f.doc_id = k.doc_id GROUP BY stratum ORDER BY n DESC, stratum LIMIT {MAX_STRATA}),
+h AS (SELECT stratum, count(*) FILTER (good) AS n FROM f JOIN k ON f.doc_id = k.doc_id GROUP BY stratum),
 a AS (SELECT v.stratum, g.rule, g.step, g.cutoff, h.n, count(*) FILTER (k.good AND value > cutoff) AS wrong, count(*) FILTER (NOT k.good AND value > cutoff) AS hits FROM v JOIN k ON v.doc_id = k.doc_id JOIN h ON h.stratum = v.stratum JOIN g ON g.rule = v.rule GROUP BY ALL),
 b AS (SELECT *, list_sum(list_transform(range(wrong + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({rate}) + (n - x) * ln(1 - {rate})))) <= {ERROR / len(RULES)} / (SELECT count(*) FROM h) AND wrong < n * {rate} AS sure FROM a),
 o AS (SELECT *, bool_and(sure) OVER (PARTITION BY stratum, rule ORDER BY step) AS certified FROM b),

@@ -11,7 +11,7 @@ Strata with too few labelled documents certify nothing and lose nothing.
 
 Edge cases: null or empty text has 0 words and fails the base rule; a null stratum is one of its own
 (``und``); null or absent labels and ids are not used; several label rows of an id count as good only
-if all are; beyond MAX_STRATA strata the smallest get no cutoff; other columns are ignored.
+if all are; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-RISK, ERROR, MAX_STRATA = 0.005, 0.05, 1000
+RISK, ERROR = 0.02, 0.05
 
 #: Rules: value that rejects where it exceeds the cutoff, and cutoffs from lenient to strict.
 RULES = {
@@ -91,9 +91,9 @@ def cutoffs(rows: DataFrame, labels: DataFrame, id_col: str, good_col: str, risk
     table = rows.sparkSession.createDataFrame(grid, "rule string, step int, cutoff double")
     # at most strata * rules * steps rows from here on
     tallied = written(tallied, "rule-tallies")
-    largest = tallied.where(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("good").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
+    largest = tallied.where(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("good").alias("n"))
     strata = max(1, largest.count())
-    at = tallied.join(F.broadcast(largest), "stratum").join(F.broadcast(table), "rule")
+    at = tallied.join(largest, "stratum").join(F.broadcast(table), "rule")  # the grid of rules, a constant
     counted = at.groupBy("stratum", "n", "rule", "step", "cutoff").agg(F.sum(F.when(F.col("passed") >= F.col("step"), F.col("good")).otherwise(0)).alias("wrong"), F.sum(F.when(F.col("passed") >= F.col("step"), F.col("bad")).otherwise(0)).alias("right"))
     level = error / (strata * len(RULES))
     tested = counted.withColumn("sure", binomial_tail(F.col("wrong"), F.col("n"), risk / len(RULES)) <= level)
@@ -110,6 +110,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_stratum = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
     rejects = F.array_compact(F.array(*[F.when(F.expr(value) > F.col(f"cut_{r}"), F.lit(r)) for r, (value, _) in RULES.items()]))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    # at most MAX_STRATA rows, one a stratum
-    named = rows.join(F.broadcast(by_stratum), "stratum", "left").withColumn("base_failed", base).withColumn("rejected_by", rejects)
+    # one row a stratum, of a written table: broadcast only if Spark finds it small enough
+    named = rows.join(by_stratum, "stratum", "left").withColumn("base_failed", base).withColumn("rejected_by", rejects)
     return named.select(F.col("id").alias(id_col), "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))

@@ -199,7 +199,7 @@ class CaptureIndex:
     """Archives and index of one crawl in a shared folder."""
 
     def __init__(self, spark: SparkSession, base: str, directory: DataFrame) -> None:
-        self.spark, self.base, self.directory, self._held = spark, base, directory, None
+        self.spark, self.base, self.directory = spark, base, directory
 
     @classmethod
     def build(cls, pages: DataFrame, base: str | None = None, **options) -> CaptureIndex:
@@ -208,16 +208,15 @@ class CaptureIndex:
         return cls(spark, base, write_index(write_archives(pages, f"{base}/archives", **options), f"{base}/index"))
 
     def lookup(self, url: str) -> list[dict[str, str]]:
-        """Headers and payload of the captures of one url. The directory (one row a block) is held on
-        the driver from the first lookup on; nothing else is."""
-        if self._held is None:
-            rows = sorted((r["first_key"], r["file"], r["offset"], r["length"]) for r in self.directory.collect())
-            self._held = [r[0] for r in rows], rows
-        firsts, rows = self._held
+        """Headers and payload of the captures of one url. The sparse directory is a table sorted by key:
+        Spark prunes it to the blocks that may hold the key, so the driver gets those of one url."""
         key, found = surt(url), []
+        before = self.directory.where(F.col("first_key") < key).agg(F.max("first_key")).first()[0]
+        wanted = F.col("first_key").between(before if before is not None else key, key)
+        rows = sorted((r["first_key"], r["file"], r["offset"], r["length"]) for r in self.directory.where(wanted).collect())  # blocks of one key
         blocks, archives = _Ranges(f"{self.base}/index"), _Ranges(f"{self.base}/archives")
-        for at in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
-            entries = _opened(blocks.read(*rows[at][1:]))
+        for row in rows:
+            entries = _opened(blocks.read(*row[1:]))
             keys = [e[0] for e in entries]
             for e in entries[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
                 fields, block = parsed(zlib.decompress(archives.read(*e[3:]), 31))
