@@ -46,11 +46,10 @@ def fallback(df: DataFrame, levels: list[tuple[list[str], DataFrame]], value: st
 
 
 def prior_median(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """n and mean of the rows of the key strictly before each row's day (J6), from running totals."""
-    days = df.groupBy(*keys, time).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    before = W.partitionBy(*keys).orderBy(time).rowsBetween(W.unboundedPreceding, -1)
-    running = days.select(*keys, time, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("n_prior"), (F.sum("_s").over(before) / F.sum("_n").over(before)).alias("mean_prior"))
-    return df.join(running, [*keys, time])
+    """n and median of the rows of the key strictly before each row's day (J6): one range window over
+    the day number, so that no pair of a target and an earlier row is made."""
+    before = W.partitionBy(*keys).orderBy(F.unix_date(F.col(time).cast("date"))).rangeBetween(W.unboundedPreceding, -1)
+    return df.withColumn("n_prior", F.count(value).over(before)).withColumn("median_prior", F.percentile(value, F.lit(0.5)).over(before))
 
 
 def token_similarity(df: DataFrame, id_col: str, token_col: str, weight: str, floor: float) -> DataFrame:

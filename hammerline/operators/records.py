@@ -58,13 +58,17 @@ def components(edges: DataFrame, checkpoint_every: int = 3) -> DataFrame:
     """(id, component): smallest reachable id, by propagating minima and jumping (U8)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
-    step = 0
+    step, before = 0, None
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("_m"))
         nearer = labels.join(near, labels.id == near.a).select("id", F.least("component", "_m").alias("c"), F.col("component").alias("was"))
         jump = nearer.alias("x").join(nearer.alias("y"), F.col("x.c") == F.col("y.id"), "left").select(F.col("x.id").alias("id"), F.least(F.col("x.c"), F.coalesce(F.col("y.c"), F.col("x.c"))).alias("component"), F.col("x.was").alias("was"))
         step += 1
+        held = jump
         jump = jump.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else jump.persist()
+        if before is not None:
+            before.unpersist()
+        before = jump if jump is held else None
         if jump.where("component <> was").isEmpty():
             return jump.select("id", "component")
         labels = jump.select("id", "component")
@@ -113,17 +117,11 @@ def shrink_gate(before: DataFrame, now: DataFrame, key: str, least: float) -> Da
     return joined.withColumn("verdict", F.when(F.col("n_now") >= least * F.col("n_before"), "pass").otherwise("refuse"))
 
 
-def inverted_index(df: DataFrame, id_col: str, token_array: Column, most: int) -> DataFrame:
-    """token, n and ascending postings; tokens in more than ``most`` rows are left to a text check (Q1)."""
+def posting_chunks(df: DataFrame, id_col: str, token_array: Column, width: int = 65_536) -> DataFrame:
+    """token, chunk, n of the chunk and its ascending postings; no token is dropped, and a common one is
+    dealt over chunks of ``width`` neighbouring ids, which bounds a row (Q1)."""
     rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(token_array)).alias("token"))
-    common = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") <= most)
-    return rows.join(common, "token").groupBy("token", "n").agg(F.array_sort(F.collect_list("id")).alias("postings"))
-
-
-def posting_chunks(df: DataFrame, id_col: str, token_array: Column, salts: int = 64) -> DataFrame:
-    """token, chunk, n of the chunk and its ascending postings; no token is dropped, a common one is dealt over ``salts`` chunks by id."""
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(token_array)).alias("token"))
-    salted = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("chunk", F.floor(F.col("id") / width))
     return salted.groupBy("token", "chunk").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("postings"))
 
 
@@ -141,17 +139,3 @@ def index_search(index: DataFrame, words: list[str], prefix_last: bool) -> DataF
     held = [parts[i].groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("postings"))).alias(f"p{i}")) for i in order]
     joined = functools.reduce(lambda a, b: a.join(b, "chunk"), held)
     return joined.select(F.explode(functools.reduce(F.array_intersect, [F.col(f"p{i}") for i in order])).alias("id"))
-
-
-def search(df: DataFrame, id_col: str, token_array: Column, words: list[str], prefix_last: bool) -> DataFrame:
-    """Ids whose tokens hold all words, the last as a prefix while typing (Q2)."""
-    def whole(w: str):
-        return lambda t: t == w
-
-    def begun(w: str):
-        return lambda t: t.startswith(w)
-
-    held = F.lit(True)
-    for i, w in enumerate(words):
-        held = held & F.exists("_t", begun(w) if prefix_last and i == len(words) - 1 else whole(w))
-    return df.select(id_col, token_array.alias("_t")).where(held).select(id_col)

@@ -33,7 +33,9 @@ def query(sql: str | None = None, with_lots: bool = True) -> Callable[[Query], Q
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {LOTS_SQL}{', ' if sql.startswith('+') else ' '}{sql.removeprefix('+')}" if with_lots else sql
+            recursive = "RECURSIVE " if sql.startswith("RECURSIVE") else ""
+            body = sql.removeprefix("RECURSIVE")
+            ORACLE_SQL[f.__name__] = f"WITH {recursive}{LOTS_SQL}{', ' if body.startswith('+') else ' '}{body.removeprefix('+')}" if with_lots else sql
         return f
 
     return register
@@ -279,41 +281,42 @@ def cohort_index(s, d):
     return Q.cohort_index(_sold(s, d), ["house"], ["category"], "price").withColumn("value", r("value", 6))
 
 
-@query("+e AS (SELECT house, category, ln(price / est_high) AS e FROM sold), g AS (SELECT avg(e) AS m FROM e), h AS (SELECT house, (sum(e) + 60 * any_value(m)) / (count(*) + 60) AS m FROM e, g GROUP BY house), c AS (SELECT e.house, category, (sum(e) + 60 * any_value(m)) / (count(*) + 60) AS m FROM e JOIN h ON e.house = h.house GROUP BY e.house, category) SELECT house, category, round(exp(m), 6) AS factor FROM c")
+@query("+e AS (SELECT house, category, ln(price / est_high) AS e FROM sold), g AS (SELECT avg(e) AS m FROM e), h AS (SELECT house, (sum(e) + 45 * any_value(m)) / (count(*) + 45) AS m FROM e, g GROUP BY house), c AS (SELECT e.house, category, (sum(e) + 45 * any_value(m)) / (count(*) + 45) AS m FROM e JOIN h ON e.house = h.house GROUP BY e.house, category) SELECT house, category, round(exp(m), 6) AS factor FROM c")
 def house_bias(s, d):
     e = _sold(s, d).select("house", "category", F.ln(F.col("price") / F.col("est_high")).alias("e"))
     top = e.agg(F.avg("e").alias("m0"))
-    h = e.groupBy("house").agg(F.avg("e").alias("x"), F.count("*").alias("n")).crossJoin(F.broadcast(top)).select("house", A.shrunk(F.col("x"), F.col("n"), F.col("m0"), 60).alias("m1"))
+    h = e.groupBy("house").agg(F.avg("e").alias("x"), F.count("*").alias("n")).crossJoin(F.broadcast(top)).select("house", A.shrunk(F.col("x"), F.col("n"), F.col("m0"), 45).alias("m1"))
     c = e.groupBy("house", "category").agg(F.avg("e").alias("x"), F.count("*").alias("n")).join(h, "house")
-    return c.select("house", "category", r(F.exp(A.shrunk(F.col("x"), F.col("n"), F.col("m1"), 60)), 6).alias("factor"))
+    return c.select("house", "category", r(F.exp(A.shrunk(F.col("x"), F.col("n"), F.col("m1"), 45)), 6).alias("factor"))
 
 
-@query("SELECT a.lot_id, count(b.price) AS n_prior, round(avg(b.price), 6) AS mean_prior FROM sold a LEFT JOIN sold b ON a.object = b.object AND b.day < a.day GROUP BY a.lot_id")
+@query("SELECT a.lot_id, count(b.price) AS n_prior, round(median(b.price), 6) AS median_prior FROM sold a LEFT JOIN sold b ON a.object = b.object AND b.day < a.day GROUP BY a.lot_id")
 def point_in_time_prior(s, d):
-    return J.prior_median(_sold(s, d), ["object"], "day", "price").select("lot_id", "n_prior", r("mean_prior").alias("mean_prior"))
+    return J.prior_median(_sold(s, d), ["object"], "day", "price").select("lot_id", "n_prior", r("median_prior").alias("median_prior"))
 
 
-_TITLES = "SELECT doc_id AS id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[''\"]', '', 'g'), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS tokens FROM documents"
+_TEXTS = "SELECT doc_id AS id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[''\"]', '', 'g'), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS tokens FROM documents"
 
 
-def _titles(s, d):
-    """The title of a document is its first 200 characters; texts themselves are not compared here."""
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), S.tokens(F.substring("text", 1, 200)).alias("tokens"))
+def _texts(s, d):
+    """Distinct tokens of whole texts."""
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), S.tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH t AS ({_TITLES}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, count(*) AS df FROM x GROUP BY token) SELECT token, df, round(ln((SELECT count(*) FROM t) / df), 6) AS idf FROM f", with_lots=False)
+@query(f"WITH t AS ({_TEXTS}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, count(*) AS df FROM x GROUP BY token) SELECT token, df, round(ln((SELECT count(*) FROM t) / df), 6) AS idf FROM f", with_lots=False)
 def idf(s, d):
-    t = _titles(s, d)
+    t = _texts(s, d)
     total = t.agg(F.count("*").alias("total"))
     return t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("token", "df", r(F.ln(F.col("total") / F.col("df")), 6).alias("idf"))
 
 
-@query(f"WITH t AS ({_TITLES}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, ln((SELECT count(*) FROM t) / count(*)) AS w FROM x GROUP BY token HAVING count(*) < (SELECT count(*) FROM t) / 2), v AS (SELECT id, x.token, w FROM x JOIN f ON x.token = f.token), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w) / any_value(p.norm * q.norm), 6) AS cosine FROM v a JOIN v b ON a.token = b.token AND a.id < b.id JOIN n p ON a.id = p.id JOIN n q ON b.id = q.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) / any_value(p.norm * q.norm) >= 0.7", with_lots=False)
+@query(f"WITH t AS ({_TEXTS}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, ln((SELECT count(*) FROM t) / count(*)) AS w FROM x GROUP BY token HAVING count(*) < (SELECT count(*) FROM t)), v AS (SELECT id, x.token, w FROM x JOIN f ON x.token = f.token), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w) / any_value(p.norm * q.norm), 6) AS cosine FROM v a JOIN v b ON a.token = b.token AND a.id < b.id JOIN n p ON a.id = p.id JOIN n q ON b.id = q.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) / any_value(p.norm * q.norm) >= 0.7", with_lots=False)
 def token_dot_similarity(s, d):
-    t = _titles(s, d)
+    """Over all tokens of whole texts; one that every document holds has weight 0 and adds to no norm or product."""
+    t = _texts(s, d)
     total = t.agg(F.count("*").alias("total"))
     x = t.select("id", F.explode("tokens").alias("token"))
-    f = x.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where("df < total / 2").select("token", F.ln(F.col("total") / F.col("df")).alias("w"))
+    f = x.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where("df < total").select("token", F.ln(F.col("total") / F.col("df")).alias("w"))
     return J.token_similarity(x.join(f, "token"), "id", "token", "w", 0.7).withColumn("cosine", r("cosine", 6))
 
 
@@ -325,58 +328,17 @@ def jaccard(s, d):
     return rows.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", r(S.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard")).where("jaccard is not null")
 
 
-@query(f"WITH t AS ({_TITLES}), x AS (SELECT id, unnest(tokens) AS token FROM t), c AS (SELECT token, count(*) AS n, list_sort(list(id)) AS p FROM x GROUP BY token) SELECT token, n, array_to_string(p, ' ') AS postings FROM c WHERE n <= 50", with_lots=False)
+@query(f"WITH t AS ({_TEXTS}), x AS (SELECT id, unnest(tokens) AS token FROM t) SELECT token, id // 65536 AS chunk, count(*) AS n, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id) AS postings FROM x GROUP BY token, id // 65536", with_lots=False)
 def inverted_index(s, d):
-    t = _titles(s, d)
-    return R.inverted_index(t, "id", F.col("tokens"), 50).select("token", "n", F.array_join(F.transform("postings", lambda x: x.cast("string")), " ").alias("postings"))
-
-
-@query(f"WITH t AS ({_TITLES}) SELECT id FROM t WHERE list_contains(tokens, 'the') AND len(list_filter(tokens, lambda x: starts_with(x, 'th'))) > 0", with_lots=False)
-def inverted_index_search(s, d):
-    return R.search(_titles(s, d), "id", F.col("tokens"), ["the", "th"], True)
-
-
-_TEXTS = _TITLES.replace("substr(text, 1, 200)", "text")
-
-
-def _texts(s, d):
-    """Tokens of whole texts; the queries named _text read these, uncut."""
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), S.tokens(F.col("text")).alias("tokens"))
-
-
-@query(f"WITH t AS ({_TEXTS}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, count(*) AS df FROM x GROUP BY token) SELECT token, df, round(ln((SELECT count(*) FROM t) / df), 6) AS idf FROM f", with_lots=False)
-def idf_text(s, d):
-    t = _texts(s, d)
-    total = t.agg(F.count("*").alias("total"))
-    return t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("token", "df", r(F.ln(F.col("total") / F.col("df")), 6).alias("idf"))
-
-
-@query(f"WITH t AS ({_TEXTS}) SELECT id FROM t WHERE list_contains(tokens, 'the') AND len(list_filter(tokens, lambda x: starts_with(x, 'th'))) > 0", with_lots=False)
-def inverted_index_search_text(s, d):
-    return R.search(_texts(s, d), "id", F.col("tokens"), ["the", "th"], True)
-
-
-@query()
-def inverted_index_text(s, d):
-    """Every token of whole texts, in chunks; the chunk of an id is a hash of Spark, so there is no SQL."""
+    """Every token of whole texts, its postings in chunks of neighbouring ids."""
     return R.posting_chunks(_texts(s, d), "id", F.col("tokens")).select("token", "chunk", "n", F.array_join(F.transform("postings", lambda x: x.cast("string")), " ").alias("postings"))
 
 
-@query(ORACLE_SQL["inverted_index_search_text"], with_lots=False)
-def index_search_text(s, d):
+@query(f"WITH t AS ({_TEXTS}) SELECT id FROM t WHERE list_contains(tokens, 'the') AND len(list_filter(tokens, lambda x: starts_with(x, 'th'))) > 0", with_lots=False)
+def inverted_index_search(s, d):
     return R.index_search(R.posting_chunks(_texts(s, d), "id", F.col("tokens")), ["the", "th"], True)
 
 
-@query(f"WITH t AS ({_TEXTS}), x AS (SELECT id, unnest(tokens) AS token FROM t), f AS (SELECT token, ln((SELECT count(*) FROM t) / count(*)) AS w FROM x GROUP BY token HAVING count(*) < (SELECT count(*) FROM t)), v AS (SELECT id, x.token, w FROM x JOIN f ON x.token = f.token), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM v GROUP BY id) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w) / any_value(p.norm * q.norm), 6) AS cosine FROM v a JOIN v b ON a.token = b.token AND a.id < b.id JOIN n p ON a.id = p.id JOIN n q ON b.id = q.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) / any_value(p.norm * q.norm) >= 0.7", with_lots=False)
-def token_dot_similarity_text(s, d):
-    """Over all tokens of whole texts; one that every document holds has weight 0 and adds to no norm or product."""
-    t = _texts(s, d)
-    total = t.agg(F.count("*").alias("total"))
-    x = t.select("id", F.explode("tokens").alias("token"))
-    f = x.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where("df < total").select("token", F.ln(F.col("total") / F.col("df")).alias("w"))
-    return J.token_similarity(x.join(f, "token"), "id", "token", "w", 0.7).withColumn("cosine", r("cosine", 6))
-
-
 @query("+p AS (SELECT category, form, size, count(*) AS n, median(price) AS m, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS iqr FROM sold GROUP BY ALL) SELECT category, form, size, n, round(m, 6) AS median, CASE WHEN iqr / m > 2.5 THEN 'wide' WHEN n >= 8 THEN 'high' ELSE 'low' END AS confidence FROM p WHERE n >= 3")
 def edition_pool_median(s, d):
     p = _sold(s, d).groupBy("category", "form", "size").agg(F.count("*").alias("n"), F.median("price").alias("m"), (A.quantile("price", 0.75) - A.quantile("price", 0.25)).alias("iqr")).where("n >= 3")
@@ -406,19 +368,19 @@ def value_book(s, d):
     return p.withColumn("reason", reason).select("object", "n", "reason", F.when(F.col("reason") == "ok", r("m")).alias("value"), r("lo").alias("lo"), r("hi").alias("hi"))
 
 
-@query("+b AS (SELECT category, CAST(floor(least(price / est_high, 2.99) * 2) AS INT) AS bucket, CASE WHEN price > est_high THEN 1.0 ELSE 0.0 END AS beat FROM sold), p AS (SELECT bucket, avg(beat) AS p FROM b GROUP BY bucket), c AS (SELECT category, b.bucket, count(*) AS n, (sum(beat) + 60 * any_value(p)) / (count(*) + 60) AS rate FROM b JOIN p ON b.bucket = p.bucket GROUP BY category, b.bucket) SELECT category, bucket, n, round(least(greatest(max(rate) OVER (PARTITION BY category ORDER BY bucket), 0.02), 0.98), 6) AS rate FROM c")
+@query("+b AS (SELECT category, CAST(floor(least(price / est_high, 2.99) * 2) AS INT) AS bucket, CASE WHEN price > est_high THEN 1.0 ELSE 0.0 END AS beat FROM sold), p AS (SELECT bucket, avg(beat) AS p FROM b GROUP BY bucket), c AS (SELECT category, b.bucket, count(*) AS n, (sum(beat) + 45 * any_value(p)) / (count(*) + 45) AS rate FROM b JOIN p ON b.bucket = p.bucket GROUP BY category, b.bucket) SELECT category, bucket, n, round(least(greatest(max(rate) OVER (PARTITION BY category ORDER BY bucket), 0.03), 0.97), 6) AS rate FROM c")
 def calibration_rates(s, d):
     b = _sold(s, d).select("category", F.floor(F.least(F.col("price") / F.col("est_high"), F.lit(2.99)) * 2).cast("int").alias("bucket"), (F.col("price") > F.col("est_high")).cast("double").alias("beat"))
     p = b.groupBy("bucket").agg(F.avg("beat").alias("p"))
-    c = b.groupBy("category", "bucket").agg(F.count("*").alias("n"), F.avg("beat").alias("x")).join(p, "bucket").withColumn("rate", A.shrunk(F.col("x"), F.col("n"), F.col("p"), 60))
+    c = b.groupBy("category", "bucket").agg(F.count("*").alias("n"), F.avg("beat").alias("x")).join(p, "bucket").withColumn("rate", A.shrunk(F.col("x"), F.col("n"), F.col("p"), 45))
     running = F.max("rate").over(W.partitionBy("category").orderBy("bucket"))
-    return c.select("category", "bucket", "n", r(S.clamp(running, 0.02, 0.98), 6).alias("rate"))
+    return c.select("category", "bucket", "n", r(S.clamp(running, 0.03, 0.97), 6).alias("rate"))
 
 
-@query("+t AS (SELECT a.lot_id, a.price, a.est_high, avg(b.price) AS prior FROM sold a JOIN sold b ON a.object = b.object AND b.day < a.day GROUP BY a.lot_id, a.price, a.est_high) SELECT prior > 1.2 * est_high AS flagged, count(*) AS n, round(median(price / est_high - 1), 6) AS median_perf, round(avg(CASE WHEN price > est_high THEN 1.0 ELSE 0.0 END), 6) AS beat FROM t GROUP BY 1")
+@query("+t AS (SELECT a.lot_id, a.price, a.est_high, median(b.price) AS prior FROM sold a JOIN sold b ON a.object = b.object AND b.day < a.day GROUP BY a.lot_id, a.price, a.est_high) SELECT prior > 1.2 * est_high AS flagged, count(*) AS n, round(median(price / est_high - 1), 6) AS median_perf, round(avg(CASE WHEN price > est_high THEN 1.0 ELSE 0.0 END), 6) AS beat FROM t GROUP BY 1")
 def backtest_summary(s, d):
     t = J.prior_median(_sold(s, d), ["object"], "day", "price").where("n_prior > 0")
-    return t.groupBy((F.col("mean_prior") > 1.2 * F.col("est_high")).alias("flagged")).agg(F.count("*").alias("n"), r(F.median(F.col("price") / F.col("est_high") - 1), 6).alias("median_perf"), r(F.avg((F.col("price") > F.col("est_high")).cast("double")), 6).alias("beat"))
+    return t.groupBy((F.col("median_prior") > 1.2 * F.col("est_high")).alias("flagged")).agg(F.count("*").alias("n"), r(F.median(F.col("price") / F.col("est_high") - 1), 6).alias("median_perf"), r(F.avg((F.col("price") > F.col("est_high")).cast("double")), 6).alias("beat"))
 
 
 @query("WITH k AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) SELECT user_id, event_type, event_id, value FROM k WHERE n = 1", with_lots=False)
@@ -448,11 +410,11 @@ def relist_gap(s, d):
     return R.relist(_lots(s, d).select("lot_id", "object", "day", "status"), "object", "day", "lot_id", 30).select("lot_id", "relisted_as")
 
 
-@query("SELECT lot_id, round(40 * least(ln(1 + est_high) / ln(1 + 200000.0), 1) + 20 * (1 - discount) + 0.7 * (25 * tax / 0.08 + 15 * pow(0.5, date_diff('day', DATE '1995-06-17', day) / 90.0)), 4) AS score FROM lots WHERE status = 'upcoming' AND day >= DATE '1995-06-17'")
+@query("SELECT lot_id, round(35 * least(ln(1 + est_high) / ln(1 + 200000.0), 1) + 30 * (1 - discount) + 0.8 * (20 * tax / 0.08 + 20 * pow(0.5, date_diff('day', DATE '1995-06-17', day) / 60.0)), 4) AS score FROM lots WHERE status = 'upcoming' AND day >= DATE '1995-06-17'")
 def priority_score(s, d):
     rows = _lots(s, d).where("status = 'upcoming' and day >= date '1995-06-17'")
-    urgency = S.half_life(F.datediff("day", F.lit("1995-06-17").cast("date")), 90.0)
-    score = 40 * F.least(F.ln(1 + F.col("est_high")) / F.ln(F.lit(200001.0)), F.lit(1)) + 20 * (1 - F.col("discount")) + 0.7 * (25 * F.col("tax") / 0.08 + 15 * urgency)
+    urgency = S.half_life(F.datediff("day", F.lit("1995-06-17").cast("date")), 60.0)
+    score = 35 * F.least(F.ln(1 + F.col("est_high")) / F.ln(F.lit(200001.0)), F.lit(1)) + 30 * (1 - F.col("discount")) + 0.8 * (20 * F.col("tax") / 0.08 + 20 * urgency)
     return rows.select("lot_id", r(score, 4).alias("score"))
 
 
@@ -588,9 +550,9 @@ def hedonic_index(s, d):
     return s.createDataFrame(Q.hedonic_index(_sold(s, d), ["category", "house"], "price").round(6), "q int, value double")
 
 
-@query()
+@query("+b AS (SELECT n, min(k) AS k FROM (SELECT n, unnest(range(n + 1)) AS k FROM (SELECT unnest(range(61)) AS n)) WHERE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) > 0.025 GROUP BY n), o AS (SELECT maker, category, price, row_number() OVER (PARTITION BY maker, category ORDER BY price) AS r, count(*) OVER (PARTITION BY maker, category) AS n FROM sold), j AS (SELECT o.*, coalesce(b.k, greatest(0, floor(o.n / 2 - 0.98 * sqrt(o.n)))) AS k FROM o LEFT JOIN b ON o.n = b.n) SELECT maker, category, n, round(median(price), 6) AS median, max(price) FILTER (r = k) AS low, max(price) FILTER (r = n + 1 - k) AS high FROM j GROUP BY maker, category, n")
 def median_intervals(s, d):
-    return A.median_interval(_sold(s, d), ["maker", "category"], "price")
+    return A.median_interval(_sold(s, d), ["maker", "category"], "price").withColumn("median", r("median"))
 
 
 @query()
@@ -608,7 +570,7 @@ def shortlist_caps(s, d):
     return Q.greedy_caps(rows, "house", ["rank", "lot_id"], {"category": 3, "maker": 2}, 40)
 
 
-@query()
+@query("RECURSIVE+u AS (SELECT lot_id, object, maker, sale FROM lots WHERE status = 'upcoming'), e0 AS (SELECT min(lot_id) AS a, max(lot_id) AS b FROM u GROUP BY sale, object HAVING count(*) > 1 UNION SELECT min(lot_id), max(lot_id) FROM u GROUP BY maker, object HAVING count(*) > 1), e AS (SELECT a, b FROM e0 WHERE a < b UNION SELECT b, a FROM e0 WHERE a < b), c(id, reach) AS (SELECT a, a FROM e UNION SELECT c.id, e.b FROM c JOIN e ON c.reach = e.a) SELECT id, min(reach) AS component FROM c GROUP BY id")
 def fold_variants(s, d):
     rows = _lots(s, d).where("status = 'upcoming'").select("lot_id", "object", "maker", "sale")
     by_sale = rows.groupBy("sale", "object").agg(F.min("lot_id").alias("a"), F.max("lot_id").alias("b")).where("a < b").select("a", "b")
@@ -616,4 +578,6 @@ def fold_variants(s, d):
     return R.components(by_sale.union(by_maker))
 
 
-from . import market as _market  # noqa: E402, F401  registers its queries
+from . import gates as _gates  # noqa: E402, F401  registers its queries
+from . import market as _market  # noqa: E402, F401
+from . import valuation as _valuation  # noqa: E402, F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,7 +27,7 @@ def read_segment(spark: SparkSession, path: str, schema: StructType) -> DataFram
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     lines = spark.read.text(path)
-    as_array = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    as_array = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
     rows = lines.where(F.length(F.trim("value")) > 0).select(F.explode(F.from_json(as_array, f"array<{schema.simpleString()}>")).alias("r"))
     return rows.select("r.*")
 
@@ -51,6 +52,7 @@ def write_corpus(df: DataFrame, path: str, ordinal: str = "lot_id") -> None:
 
 
 def read_corpus(spark: SparkSession, path: str, ordinal: str = "lot_id") -> DataFrame:
+    """Main and archive tiers, the partitions of one table, in order."""
     return spark.read.parquet(path).orderBy("tier", ordinal)
 
 
@@ -66,14 +68,14 @@ def dual_write(df: DataFrame, corpus: str, served: str, drop: list[str]) -> None
     df.sparkSession.read.parquet(corpus).drop("row_json", *drop).write.mode("overwrite").parquet(served)
 
 
-def guarded_upsert(old: DataFrame, new: DataFrame, key: str, least: float = 0.5) -> DataFrame:
-    """New rows over old by key; rows that vanished are swept, unless the new side is empty or smaller
-    than ``least`` of the old, which raises (S17)."""
-    n, m = new.count(), old.count()
+def guarded_upsert(old: DataFrame, new: DataFrame, key: str, least: float, order: list[str]) -> DataFrame:
+    """The table after a load: the new rows, one a key (the first in ``order``); rows that vanished are
+    swept, unless the new side is empty or has fewer keys than ``least`` of the old, which raises (S17)."""
+    fresh = new.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    n, m = fresh.count(), old.select(key).distinct().count()
     if n == 0 or n < least * m:
         raise ValueError(f"refused: {n} rows against {m}")
-    kept = old.join(new.select(key), key, "left_semi").join(new.select(key), key, "left_anti")
-    return new.unionByName(kept, allowMissingColumns=True)
+    return fresh
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,24 +83,37 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
 
 
-def publish(df: DataFrame, base: str, version: str | None = None, keep: int = 14) -> str:
-    """Write-once version folder, pointer written last, oldest versions beyond ``keep`` removed."""
+def publish(df: DataFrame, base: str, keep: int, version: str | None = None) -> str:
+    """Write-once version folder, then a pointer that is written aside and renamed, so that readers find
+    the old or the new one (S19). Pointers are numbered: the highest is valid; the ``keep`` versions last
+    pointed at stay."""
     spark = df.sparkSession
     version = version or time.strftime("%Y%m%dT%H%M%S", time.gmtime())
     if exists(spark, f"{base}/version={version}"):
         raise ValueError(f"version {version} exists")
     df.write.parquet(f"{base}/version={version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{base}/pointer")
-    p, fs = _fs(spark, base)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("version="))
-    for name in names[:-keep]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}"), True)
+    told = _pointers(spark, base)
+    aside, place = (_fs(spark, f"{base}/{name}")[0] for name in (f"_aside-{version}", f"pointer={len(told) and told[-1][0] + 1:012d}={version}"))
+    fs = _fs(spark, base)[1]
+    fs.create(aside, False).close()
+    if not fs.rename(aside, place):
+        raise ValueError(f"another version took the place of {version}")
+    told = _pointers(spark, base)
+    for _, name, path in told[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/version={name}"), True)
+        fs.delete(path, False)
     return version
 
 
+def _pointers(spark: SparkSession, base: str) -> list[tuple]:
+    """(number, version, path) in order; as many as versions are kept."""
+    p, fs = _fs(spark, base)
+    names = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("pointer=")]
+    return sorted(((int(x.getName().split("=", 2)[1]), x.getName().split("=", 2)[2], x) for x in names), key=lambda x: x[:2])
+
+
 def published(spark: SparkSession, base: str) -> DataFrame:
-    version = spark.read.text(f"{base}/pointer").first()[0]
-    return spark.read.parquet(f"{base}/version={version}")
+    return spark.read.parquet(f"{base}/version={_pointers(spark, base)[-1][1]}")
 
 
 def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:

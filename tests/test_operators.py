@@ -41,8 +41,8 @@ def test_premium_inverse(spark):
 
 def test_no_look_ahead(spark):
     rows = [("a", 1, dt.date(2020, 1, 1), 10.0), ("a", 2, dt.date(2020, 1, 2), 20.0), ("a", 3, dt.date(2020, 1, 2), 40.0)]
-    first = {r.id: (r.n_prior, r.mean_prior) for r in joins.prior_median(spark.createDataFrame(rows, "k string, id int, d date, v double"), ["k"], "d", "v").collect()}
-    later = {r.id: (r.n_prior, r.mean_prior) for r in joins.prior_median(spark.createDataFrame([*rows, ("a", 4, dt.date(2020, 1, 3), 1e9)], "k string, id int, d date, v double"), ["k"], "d", "v").collect()}
+    first = {r.id: (r.n_prior, r.median_prior) for r in joins.prior_median(spark.createDataFrame(rows, "k string, id int, d date, v double"), ["k"], "d", "v").collect()}
+    later = {r.id: (r.n_prior, r.median_prior) for r in joins.prior_median(spark.createDataFrame([*rows, ("a", 4, dt.date(2020, 1, 3), 1e9)], "k string, id int, d date, v double"), ["k"], "d", "v").collect()}
     assert first == {k: later[k] for k in first} and first[2] == (1, 10.0)
 
 
@@ -82,8 +82,8 @@ def test_segments_round_trip(spark, tmp_path):
 
 def test_publish_and_lookup(spark, tmp_path):
     df = spark.range(100).withColumn("v", F.col("id") * 2)
-    segments.publish(df, str(tmp_path / "p"), "1")
-    segments.publish(df.where("id < 5"), str(tmp_path / "p"), "2", keep=1)
+    segments.publish(df, str(tmp_path / "p"), 14, "1")
+    segments.publish(df.where("id < 5"), str(tmp_path / "p"), 1, "2")
     assert segments.published(spark, str(tmp_path / "p")).count() == 5
     segments.write_keyed(df, str(tmp_path / "k"), "id", 8)
     assert segments.lookup(spark, str(tmp_path / "k"), "id", 42, 8).first()["v"] == 84
@@ -105,10 +105,10 @@ def test_grade_ladder_recovers_multipliers(spark):
     steps = {1: 0.5, 2: 0.8, 3: 1.0, 4: 1.7}
     rows = [(k, g, 100.0 * (k + 1) * m) for k in range(12) for g, m in steps.items() if (k + g) % 4]
     df = spark.createDataFrame(rows, "k long, g int, v double")
-    found = market.grade_ladder(df, "k", "g", "v", [1, 2, 3, 4, 5], 3)
+    found = market.grade_ladder(df, "k", "g", "v", [1, 2, 3, 4, 5], 3, 1, 3)
     assert found[5] is None and all(found[g] == pytest.approx(m) for g, m in steps.items())
     falling = df.withColumn("g", 5 - df.g)
-    assert set(market.grade_ladder(falling, "k", "g", "v", [1, 2, 3, 4], 2).values()) == {None}
+    assert set(market.grade_ladder(falling, "k", "g", "v", [1, 2, 3, 4], 2, 1, 3).values()) == {None}
 
 
 def test_composite_caps_weights(spark):
@@ -116,7 +116,7 @@ def test_composite_caps_weights(spark):
 
     levels = spark.createDataFrame([(k, q, 1.0 + k * q / 10) for k in range(4) for q in (1, 2)] + [(0, 3, 2.0)], "k long, q int, level double")
     sizes = spark.createDataFrame([(0, 97.0), (1, 1.0), (2, 1.0), (3, 1.0)], "k long, size double")
-    got = {r.q: (r.value, r.n) for r in market.composite(levels, sizes, "k", "q", "level", "size", cap=0.4).collect()}
+    got = {r.q: (r.value, r.n) for r in market.composite(levels, sizes, "k", "q", "level", "size", 0.4, 3, 0.5).collect()}
     assert set(got) == {1, 2} and got[1][1] == 4
     assert got[1][0] == pytest.approx(math.exp(0.2 * sum(math.log(1 + k / 10) for k in (1, 2, 3))))
 

@@ -20,16 +20,16 @@ def texts(spark, tmp_path_factory):
 
 
 def test_words_past_a_prefix_count(spark, texts):
-    got = {r.token: (r.df, r.idf) for r in catalogue.QUERIES["idf_text"](spark, texts).collect()}
+    got = {r.token: (r.df, r.idf) for r in catalogue.QUERIES["idf"](spark, texts).collect()}
     assert got["tail"] == (2, pytest.approx(math.log(2), abs=1e-6)) and got["the"][0] == 2
-    assert sorted(r.id for r in catalogue.QUERIES["inverted_index_search_text"](spark, texts).collect()) == [1, 3]
+    assert sorted(r.id for r in catalogue.QUERIES["inverted_index_search"](spark, texts).collect()) == [1, 3]
 
 
 def test_common_tokens_keep_their_postings(spark, tmp_path):
     rows = [(i, "common " + ("rare" if i == 7 else "third") + (" thus" if i % 3 == 0 else "")) for i in range(300)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     t = catalogue._texts(spark, f"file://{tmp_path}")
-    index = records.posting_chunks(t, "id", F.col("tokens")).cache()
+    index = records.posting_chunks(t, "id", F.col("tokens"), 64).cache()
     got = {}
     for r in index.collect():
         assert r.n == len(r.postings) and r.postings == sorted(r.postings)
@@ -51,5 +51,5 @@ def test_frequent_tokens_count_for_similarity(spark, tmp_path):
             norms = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
             if a < b and norms and sum(v * y.get(w, 0) for w, v in x.items()) / norms >= 0.7:
                 want[a, b] = sum(v * y.get(w, 0) for w, v in x.items()) / norms
-    got = {(r.a, r.b): r.cosine for r in catalogue.QUERIES["token_dot_similarity_text"](spark, f"file://{tmp_path}").collect()}
+    got = {(r.a, r.b): r.cosine for r in catalogue.QUERIES["token_dot_similarity"](spark, f"file://{tmp_path}").collect()}
     assert (2, 3) in want and got == pytest.approx(want, abs=1e-6)
