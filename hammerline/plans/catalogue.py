@@ -580,4 +580,5 @@ def fold_variants(s, d):
 
 from . import gates as _gates  # noqa: E402, F401  registers its queries
 from . import market as _market  # noqa: E402, F401
+from . import parsing as _parsing  # noqa: E402, F401
 from . import valuation as _valuation  # noqa: E402, F401
