@@ -274,13 +274,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         shingles = Shingler(width)
         for b in batches:
             sets = [shingles(t.as_py()).tobytes() for t in b.column("_text")]
-            own = pa.array([hashlib.md5(x).digest() == d for x, d in zip(sets, b.column("digest").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), b.column("blocks"), pa.array(sets, pa.binary())], ["id", "family", "blocks", "shingles"]).filter(own)
+            out = pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), b.column("blocks"), pa.array(sets, pa.binary())], ["id", "family", "blocks", "shingles"])
+            if several:
+                out = out.filter(pa.array([hashlib.md5(x).digest() == d for x, d in zip(sets, b.column("digest").to_pylist(), strict=True)], pa.bool_()))
+            yield out
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("_text"))
     reps = groups.select(F.col("rep").alias("id"), "n_shingles", "digest")
     sizes = families.join(reps, "id").groupBy("component").agg(F.ceil(F.sum("n_shingles") / FAMILY_SHINGLES).alias("blocks"))
-    named = written(families.join(sizes, "component").join(reps, "id").select("id", F.col("component").alias("family"), "blocks", "digest"), "families")
+    named = families.join(sizes, "component").select("id", F.col("component").alias("family"), "blocks")
+    named = written(named.join(reps.select("id", "digest"), "id") if several else named, "families")  # narrow, so that it stays a broadcast as long as it may
     sets = texts.join(named, "id").mapInArrow(full_sets, "id long, family long, blocks long, shingles binary")
     links = _block_pairs(sets, "blocks", "family").mapInArrow(_confirmed(percent), "a long, b long")
     labels = shrink(written(links.distinct(), "links"))
