@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORKER_CACHES, partitions, written
+from .common import WORKER_CACHES, partitions, released, written
 
 #: Texts whose ids a worker remembers; a full cache is emptied.
-CACHE_TEXTS = 500_000
+CACHE_TEXTS = 250_000
 #: Bytes of text that are taken apart at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: A word and ASCII marks after it (no apostrophe, which the tokenizer may read as a contraction).
 WORD_AND_MARKS = r"^(?P<word>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
@@ -159,6 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                             column.append(x)
                     i += 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["_id", "piece", "start", "length", "ids_crc32"])
+        released()
 
     key_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(pieces, f"_id {key_type}, piece int, start long, length long, ids_crc32 long")
