@@ -33,7 +33,7 @@ from .common import WORKER_CACHES, partitions, released, written
 #: Texts whose ids a worker remembers; a full cache is emptied.
 CACHE_TEXTS = 250_000
 #: Bytes of text that are taken apart at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A word and ASCII marks after it (no apostrophe, which the tokenizer may read as a contraction).
 WORD_AND_MARKS = r"^(?P<word>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
