@@ -52,21 +52,40 @@ def prior_median(df: DataFrame, keys: list[str], time: str, value: str) -> DataF
     return df.withColumn("n_prior", F.count(value).over(before)).withColumn("median_prior", F.percentile(value, F.lit(0.5)).over(before))
 
 
-def token_similarity(df: DataFrame, id_col: str, token_col: str, weight: str, floor: float) -> DataFrame:
-    """Pairs of cosine at least ``floor`` between sparse vectors (id, token, weight), with prefix filter.
-
-    Tokens are ordered by document frequency, rarest first. The suffix of a vector whose norm stays
-    below the floor cannot reach it alone, so pairs are looked for over prefixes only and scored on the
-    whole vectors (J17, M11)."""
-    norms = df.groupBy(id_col).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_norm"))
-    frequency = df.groupBy(token_col).agg(F.count("*").alias("_df"))
-    unit = df.join(norms, id_col).join(frequency, token_col).withColumn("_u", F.col(weight) / F.col("_norm"))
-    rest = W.partitionBy(id_col).orderBy(F.desc("_df"), F.desc(token_col)).rowsBetween(W.unboundedPreceding, 0)
-    marked = unit.withColumn("_suffix", F.sum(F.col("_u") * F.col("_u")).over(rest))
-    prefix = marked.where(F.col("_suffix") >= floor * floor - 1e-9)
-    a = prefix.select(F.col(id_col).alias("a"), F.col(token_col).alias("_k"))
-    b = prefix.select(F.col(id_col).alias("b"), F.col(token_col).alias("_k"))
-    pairs = a.join(b, "_k").where("a < b").select("a", "b").distinct()
+def token_similarity(df: DataFrame, id_col: str, token_col: str, weight: str, floor: float, reach: float = 0.7) -> DataFrame:
+    """Pairs a < b of cosine at least ``floor`` between sparse vectors (id, token, weight), with prefix filter.
+
+    Equal vectors collapse to the one of smallest id, so copies meet only in the result. Tokens are ordered
+    by document frequency, rarest first. A vector's prefix ends where the norm of the rest falls below
+    ``reach * floor``. Tokens up to the earlier end of two prefixes are in both; the rest adds at most the
+    larger of the two norms left over, so pairs whose product over the prefixes misses the floor by more
+    are dropped before the whole vectors are read. No pair is lost (J17, M11).
+
+    Weights of 0 add nothing; a vector without others, or with a null id, has no pairs."""
+    df = df.where(F.col(weight) != 0).where(F.col(id_col).isNotNull())
+    hashes = [F.xxhash64(F.lit(i), F.col(token_col), F.col(weight)) for i in range(2)]
+    parts = [f(h) for h in hashes for f in (lambda h: F.shiftright(h, 32), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    keys = [f"_h{i}" for i in range(len(parts))]
+    vectors = df.groupBy(id_col).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_norm"), F.count("*").alias("_n"), *[F.sum(p).alias(k) for p, k in zip(parts, keys, strict=True)])
+    classes = vectors.groupBy("_n", *keys).agg(F.min(F.struct(id_col, "_norm")).alias("_rep"), F.count("*").alias("_copies"))
+    norms = classes.select(F.col(f"_rep.{id_col}").alias(id_col), "_rep._norm")
+    unit = df.join(norms, id_col).withColumn("_u", F.col(weight) / F.col("_norm")).select(id_col, token_col, "_u")
+    frequency = unit.groupBy(token_col).agg(F.count("*").alias("_df"))
+    order = W.partitionBy(id_col).orderBy(F.desc("_df"), F.desc(token_col)).rowsBetween(W.unboundedPreceding, 0)
+    marked = unit.join(frequency.where("_df > 1"), token_col, "left").withColumn("_df", F.coalesce("_df", F.lit(1))).withColumn("_suffix", F.sum(F.col("_u") * F.col("_u")).over(order))
+    cut = (reach * floor) ** 2
+    rest = F.sqrt(F.coalesce(F.max(F.when(F.col("_suffix") < cut, F.col("_suffix"))).over(W.partitionBy(id_col)), F.lit(0.0)))
+    prefix = marked.withColumn("_rest", rest).where((F.col("_suffix") >= cut) & (F.col("_df") > 1))
+    a = prefix.select(F.col(id_col).alias("a"), F.col(token_col).alias("_k"), F.col("_u").alias("_x"), F.col("_rest").alias("_ra"))
+    b = prefix.select(F.col(id_col).alias("b"), F.col(token_col).alias("_k"), F.col("_u").alias("_y"), F.col("_rest").alias("_rb"))
+    met = a.join(b, "_k").where("a < b").groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("_known"), F.max(F.greatest("_ra", "_rb")).alias("_rest"))
+    pairs = met.where(F.col("_known") + F.col("_rest") >= floor - 1e-9).select("a", "b")
     x = unit.select(F.col(id_col).alias("a"), F.col(token_col).alias("_k"), F.col("_u").alias("_x"))
     y = unit.select(F.col(id_col).alias("b"), F.col(token_col).alias("_k"), F.col("_u").alias("_y"))
-    return pairs.join(x, "a").join(y, ["b", "_k"]).groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine")).where(F.col("cosine") >= floor)
+    scored = pairs.join(x, "a").join(y, ["b", "_k"]).groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine")).where(F.col("cosine") >= floor)
+    members = vectors.join(classes.select("_n", *keys, F.col(f"_rep.{id_col}").alias("_class"), "_copies"), ["_n", *keys]).select(F.col(id_col).alias("_id"), "_class", "_copies")
+    one, two = members.select(F.col("_id").alias("_one"), F.col("_class").alias("a")), members.select(F.col("_id").alias("_two"), F.col("_class").alias("b"))
+    across = scored.join(one, "a").join(two, "b").select(F.least("_one", "_two").alias("a"), F.greatest("_one", "_two").alias("b"), "cosine")
+    copies = members.where("_copies > 1")
+    within = copies.select(F.col("_id").alias("a"), "_class").join(copies.select(F.col("_id").alias("b"), "_class"), "_class").where("a < b")
+    return across.unionByName(within.select("a", "b", F.lit(1.0).alias("cosine")).where(F.lit(floor) <= 1))

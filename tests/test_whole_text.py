@@ -1,11 +1,12 @@
 """Search and similarity over whole texts, against brute force on small rows."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hammerline.operators import records
+from hammerline.operators import joins, records
 from hammerline.plans import catalogue
 
 LONG = "filler " * 60
@@ -53,3 +54,26 @@ def test_frequent_tokens_count_for_similarity(spark, tmp_path):
                 want[a, b] = sum(v * y.get(w, 0) for w, v in x.items()) / norms
     got = {(r.a, r.b): r.cosine for r in catalogue.QUERIES["token_dot_similarity"](spark, f"file://{tmp_path}").collect()}
     assert (2, 3) in want and got == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.7, 0.95])
+def test_similarity_loses_no_pair(spark, floor):
+    draw = random.Random(3)
+    vectors = {i: {f"t{int(draw.paretovariate(0.6)) % 60}": round(draw.uniform(0.1, 2), 2) for _ in range(draw.randint(1, 8))} for i in range(120)}
+    for i in range(120, 150):
+        vectors[i] = dict(vectors[draw.randrange(6)])
+    for i in range(150, 190):
+        vectors[i] = dict(vectors[draw.randrange(120)]) | {f"u{draw.randrange(9)}": 0.2}
+    rows = [(i, t, w) for i, v in vectors.items() for t, w in v.items()] + [(200, "t1", 0.0), (201, "t1", 0.0), (None, "t1", 1.0)]
+    got = {(r.a, r.b): r.cosine for r in joins.token_similarity(spark.createDataFrame(rows, "id long, token string, w double"), "id", "token", "w", floor).collect()}
+    want = {}
+    for a, x in vectors.items():
+        for b, y in vectors.items():
+            cosine = sum(w * y.get(t, 0) for t, w in x.items()) / math.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values()))
+            if a < b and cosine >= floor - 1e-9:
+                want[a, b] = cosine
+    assert len(want) > 100 and got == pytest.approx(want, abs=1e-9)
+
+
+def test_similarity_of_no_rows(spark):
+    assert joins.token_similarity(spark.createDataFrame([], "id long, token string, w double"), "id", "token", "w", 0.7).isEmpty()
