@@ -10,7 +10,7 @@ import time
 from hammerline.plans import catalogue
 from hammerline.session import build_session
 
-HEADLINE = ["maker_stats", "quarter_history", "trailing_demand_median", "weighted_median_recency", "cohort_index", "point_in_time_prior", "asof_last_serve", "matched_yoy", "value_book", "calibration_rates", "backtest_summary", "inverted_index", "hedonic_index", "repeat_sales_index", "status_rank_dedupe"]
+HEADLINE = ["maker_stats", "quarter_history", "trailing_demand_median", "weighted_median_recency", "cohort_index", "point_in_time_prior", "asof_last_serve", "matched_yoy", "value_book", "calibration_rates", "backtest_summary", "token_dot_similarity", "inverted_index", "hedonic_index", "repeat_sales_index", "status_rank_dedupe"]
 
 
 def main() -> None:
