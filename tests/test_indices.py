@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hammerline.operators import gates, indices, search, valuation
+from hammerline.operators import gates, indices, search, series, valuation
 from hammerline.plans import catalogue
 from hammerline.sources import segments
 from hammerline.streaming import flows
@@ -168,3 +168,26 @@ def test_valuation_rules_have_no_defaults():
     with pytest.raises(TypeError):
         valuation.Rules()
     assert "valuation" in catalogue.QUERIES
+
+
+def test_hedonic_index_is_reweighted_least_squares(spark):
+    rng, rows = random.Random(11), []
+    for _ in range(600):
+        y, room, q = rng.choice("aabbc"), rng.choice(["r", "s", None]), rng.randrange(40, 46)
+        rows.append((y, room, q, math.exp(2 + 0.1 * (q - 40) + 0.4 * (y == "b") - 0.2 * (room == "s") + rng.gauss(0, 0.2) + 4 * (rng.random() < 0.04))))
+    rows += [("a", "r", 39, -1.0), ("a", "r", 39, 0.0), ("a", "r", 41, None)]
+    got = series.hedonic_index(spark.createDataFrame(rows, "y string, room string, q int, price double"), ["y", "room"], "price")
+    kept = [x for x in rows if x[3] and x[3] > 0]
+    columns = [lambda r: 1.0]
+    for at in (0, 1):
+        seen = sorted({r[at] for r in kept if r[at]}, key=lambda v, at=at: (-sum(r[at] == v for r in kept), v))
+        columns += [lambda r, at=at, v=v: float(r[at] == v) for v in seen[1:]]
+    columns += [lambda r, q=q: float(r[2] == q) for q in range(41, 46)]
+    x, y, w = np.asarray([[c(r) for c in columns] for r in kept]), np.log([r[3] for r in kept]), np.ones(len(kept))
+    for _ in range(5):
+        beta = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+        error = np.abs(y - x @ beta)
+        w = np.minimum(1, 1.5 * np.median(error) / 0.6745 / np.maximum(error, 1e-12))
+    assert got["q"].tolist() == list(range(40, 46))
+    assert got["value"].tolist() == pytest.approx([100.0, *(100 * np.exp(beta[-5:]))], rel=2e-3)
+    assert series.hedonic_index(spark.createDataFrame([], "y string, q int, price double"), ["y"], "price").empty
