@@ -128,3 +128,16 @@ def test_neighbour_labels_need_agreement(spark):
     df = spark.createDataFrame(rows, "id long, sale long, lot int, vote string")
     assert [tuple(r) for r in market.neighbour_labels(df, "sale", "lot", "vote", "id", 1, 2, 0.9).collect()] == [(2, "a", 2)]
     assert market.neighbour_labels(df, "sale", "lot", "vote", "id", 2, 3, 0.9).count() == 0
+
+
+def test_greedy_caps_equal_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("xyz"), i, rng.choice([None, 1, 2, 3]), rng.choice(["p", "q", None])) for i in range(400)]
+    rng.shuffle(rows)
+    got = series.greedy_caps(spark.createDataFrame(rows, "g string, rank int, a int, b string"), "g", ["rank"], {"a": 3, "b": 4}, 9).collect()
+    want, taken = [], {}
+    for g, rank, a, b in sorted(rows, key=lambda r: r[1]):
+        own = taken.setdefault(g, [])
+        if len(own) < 9 and sum(x == a for x, _ in own) < 3 and sum(y == b for _, y in own) < 4:
+            own.append((a, b)), want.append((g, rank, a, b))
+    assert {(r.g, r.rank, r.a, r.b) for r in got} == set(want)
