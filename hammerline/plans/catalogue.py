@@ -564,7 +564,7 @@ def repeat_sale_groups(s, d):
     return Q.complete_linkage(edges, "component", "a", "b", "gap")
 
 
-@query()
+@query("RECURSIVE+o AS (SELECT house, lot_id, category, maker, round(-price, 2) AS rank, row_number() OVER (PARTITION BY house ORDER BY round(-price, 2) NULLS FIRST, lot_id) AS k FROM lots WHERE status = 'upcoming'), d AS (SELECT DISTINCT house, 0 AS n, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS categories, CAST([] AS BIGINT[]) AS makers FROM o UNION ALL SELECT d.house, any_value(d.n) + 1, min(o.k), list_append(any_value(d.categories), arg_min(o.category, o.k)), list_append(any_value(d.makers), arg_min(o.maker, o.k)) FROM d JOIN o ON o.house = d.house AND o.k > d.k WHERE d.n < 40 AND len(list_filter(d.categories, lambda x: x = o.category)) < 3 AND len(list_filter(d.makers, lambda x: x = o.maker)) < 2 GROUP BY d.house) SELECT o.house, lot_id, category, maker, rank FROM d JOIN o ON d.house = o.house AND d.k = o.k")
 def shortlist_caps(s, d):
     rows = _lots(s, d).where("status = 'upcoming'").select("house", "lot_id", "category", "maker", F.round(-F.col("price"), 2).alias("rank"))
     return Q.greedy_caps(rows, "house", ["rank", "lot_id"], {"category": 3, "maker": 2}, 40)
